@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 MODULES = (
     "exact_dedup",
+    "byte_bpe",
+    "token_counts",
 )
 
 

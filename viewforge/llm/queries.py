@@ -6,6 +6,7 @@ import importlib
 from collections.abc import Callable
 
 MODULES = (
+    "packing",
     "exact_dedup",
     "byte_bpe",
     "token_counts",

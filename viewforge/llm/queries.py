@@ -10,6 +10,8 @@ MODULES = (
     "exact_dedup",
     "byte_bpe",
     "token_counts",
+    "toxicity",
+    "quality",
 )
 
 

@@ -56,20 +56,33 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def merge_runs(runs: DataFrame, n_runs: int, better, fan_in: int) -> DataFrame:
+def merge_runs(runs: DataFrame, key: list[str], n_runs: int, better, fan_in: int) -> DataFrame:
     """Binomial rounds: fan_in neighbouring runs become one sorted run until one is left."""
     while n_runs > 1:
         n_runs = math.ceil(n_runs / fan_in)
         runs = (
             runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .repartition("run", "sha")
-            .sortWithinPartitions("run", *KEY)
-            .groupBy("run", *KEY)
+            .repartition("run", key[0])
+            .sortWithinPartitions("run", *key)
+            .groupBy("run", *key)
             .agg(better("best").alias("best"), F.sum("size").alias("size"))
         )
     return runs.drop("run")
 
 
+def group_rows(rows: DataFrame, key: list[str], keep: str = "min", n_runs: int | None = None, fan_in: int = 8) -> DataFrame:
+    """rows (a written table of id and key) with best, the group's identifier that stays, and size, its rows."""
+    better = {"min": F.min, "max": F.max}[keep]
+    n_runs = n_runs or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(n_runs)).cast("int"))
+    runs = rows.groupBy("run", *key).agg(better("id").alias("best"), F.count(F.lit(1)).alias("size"))
+    groups = merge_runs(runs, key, n_runs, better, fan_in).filter("size > 1")
+    down = runs.select("run", *key).join(groups, key)
+    return rows.join(down, ["run", *key], "left").withColumns(
+        {"best": F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("best")), "size": F.coalesce("size", F.lit(1)).cast("long")}
+    ).drop("run")
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", n_runs: int | None = None, fan_in: int = 8
 ) -> DataFrame:
@@ -77,22 +90,13 @@ def exact_groups(
 
     keep names which identifier of a group stays, "min" or "max".
     """
-    better = {"min": F.min, "max": F.max}[keep]
-    n_runs = n_runs or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = materialise(digest_rows(docs, id_col, text_col), "exact-digests").withColumn("run", F.pmod(F.xxhash64("id"), F.lit(n_runs)).cast("int"))
-    runs = rows.groupBy("run", *KEY).agg(better("id").alias("best"), F.count(F.lit(1)).alias("size"))
-    groups = merge_runs(runs, n_runs, better, fan_in).filter("size > 1")
-    down = runs.select("run", *KEY).join(groups, KEY)
-    return (
-        rows.join(down, ["run", *KEY], "left")
-        .withColumn("keep_id", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("best")))
-        .select(
-            "id",
-            "keep_id",
-            F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-            F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-            F.lower(F.hex("sha")).alias("text_sha256"),
-        )
+    rows = materialise(digest_rows(docs, id_col, text_col), "exact-digests")
+    return group_rows(rows, KEY, keep, n_runs, fan_in).select(
+        "id",
+        F.col("best").alias("keep_id"),
+        F.col("size").alias("group_size"),
+        F.col("id").eqNullSafe(F.col("best")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 

@@ -10,6 +10,7 @@ MODULES = (
     "exact_dedup",
     "byte_bpe",
     "token_counts",
+    "repeats",
     "jaccard_join",
     "pivot_index",
     "html_text",

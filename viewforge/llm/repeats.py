@@ -374,6 +374,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return texts.join(marks, texts["id"] == marks["doc"], "left").select("id", "text", "marks").mapInArrow(_cut_mapper(with_text), schema)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs, all columns, with what is left of each text, and its characters in chars_col if there is one."""
+    columns, schema = docs.columns, docs.schema
+    marks = repeat_marks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("marks")).withColumnsRenamed({"doc": "__doc", "marks": "__marks"})
+    at, chars = columns.index(text_col), columns.index(chars_col) if chars_col in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = batch.columns[: len(columns)]
+            rows = zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)
+            left = [cut(text or b"", [(m["start"], m["size"]) for m in marks or ()])[0].decode("utf-8", "ignore") for text, marks in rows]
+            arrays[at] = pa.array(left, pa.string())
+            if chars is not None:
+                arrays[chars] = pa.array([len(text) for text in left], pa.int64()).cast(batch.column(chars).type)
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return docs.join(marks, docs[id_col].cast("long") == marks["__doc"], "left").drop("__doc").mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents without passages that start earlier."""
     return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -228,6 +228,17 @@ def toxicity_scores(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_score_mapper(scorer), "id long, score double")
 
 
+def clean_rows(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     """Whether a row's labels are kept from learning: crc32(doc_id as text) mod 3 is 1."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))

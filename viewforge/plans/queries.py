@@ -401,3 +401,41 @@ def weighted_eta(spark, sf_dir):
 @query("SELECT 'k' AS key, sum((props ->> '$.k')::BIGINT)::BIGINT AS total, count(props ->> '$.k') AS values FROM events")
 def json_key_rollup(spark, sf_dir):
     return profile.key_rollup(table(spark, sf_dir, "events"), "props")
+
+
+# documents as program text of a language without a tree: what the text-level edits make of them
+def _as_code(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    return files.as_source_files(table(spark, sf_dir, "documents")).withColumns({"language": F.lit(language), "metadata_json": F.lit("{}")})
+
+
+@query(f"""WITH {_FILES} SELECT source_row_index, {_sql_rstrip("CASE WHEN contains(source, ' and ') THEN regexp_replace(source, ' and ', ' or ') WHEN contains(source, ' or ') THEN regexp_replace(source, ' or ', ' and ') WHEN contains(source, '&&') THEN regexp_replace(source, '&&', '||') ELSE regexp_replace(source, '[|][|]', '&&') END")} || chr(10) AS code
+FROM f WHERE contains(source, ' and ') OR contains(source, ' or ') OR contains(source, '&&') OR contains(source, '||')""")
+def boolop_edits(spark, sf_dir):
+    from viewforge.operators.edits import text_edit
+
+    return text_edit(_as_code(spark, sf_dir, "java"), "flip_boolop").select("source_row_index", "code")
+
+
+@query()
+def prepared_view_counts(spark, sf_dir):
+    from viewforge.operators.prepare import prepare
+
+    views = prepare(_as_code(spark, sf_dir, "javascript"), "v1")["views"]
+    return views.groupBy("family", "role", "transform_name").agg(F.count("*").alias("views"), F.count_if("parse_ok").alias("parse_ok"))
+
+
+@query()
+def prepared_triple_counts(spark, sf_dir):
+    from viewforge.operators.prepare import prepare
+
+    triples = prepare(_as_code(spark, sf_dir, "ruby"), "v0")["triples"]
+    return triples.groupBy("family", "positive_transform", "negative_type").agg(F.count("*").alias("triples"), F.round(F.sum("sampling_weight"), 2).alias("weight"))
+
+
+@query()
+def transform_matrix(spark, sf_dir):
+    from viewforge.operators.prepare import prepare
+    from viewforge.operators.prepare import transform_matrix as matrix
+
+    tables = prepare(_as_code(spark, sf_dir, "go"), "v0")
+    return matrix(tables["units"], tables["views"], "v0", "go")

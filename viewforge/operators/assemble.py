@@ -46,9 +46,36 @@ def labelled_pairs(triples: DataFrame) -> DataFrame:
     return triples.select("triple_id", F.col("anchor").alias("left"), F.explode(pairs).alias("p")).select("triple_id", "left", "p.right", "p.label")
 
 
+def union_all(*tables: DataFrame) -> DataFrame:
+    """The rows of all tables; columns that one lacks are null there."""
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
+
+
 def union_segments(*segments: DataFrame, key: str) -> DataFrame:
     """The rows of all segments, one for each key."""
-    out = segments[0]
-    for other in segments[1:]:
-        out = out.unionByName(other, allowMissingColumns=True)
-    return out.dropDuplicates([key])
+    return union_all(*segments).dropDuplicates([key])
+
+
+def vocabulary(rows: DataFrame, column: str) -> DataFrame:
+    """Each value of column with a dense identifier from 0 in order of name."""
+    from viewforge.operators.ranking import running
+
+    names = rows.select(F.coalesce(F.nullif(column, F.lit("")), F.lit("unknown")).alias("name")).distinct()
+    return running(names, [F.col("name")], rank="id").withColumn("id", F.col("id") - 1)
+
+
+def interned_pairs(pairs: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Functions (idx, code) and pairs (left, right, label) of rows with left_code, right_code and label.
+
+    A function's number is its place among the first occurrences, left before right.
+    """
+    from viewforge.operators.files import intern_texts
+
+    sides = pairs.select((F.col(order) * 2).alias("at"), F.col("left_code").alias("code")).unionByName(pairs.select((F.col(order) * 2 + 1).alias("at"), F.col("right_code").alias("code")))
+    numbered, of = intern_texts(sides, "code", "at")
+    functions = numbered.join(sides.select(F.col("at").alias("first_row"), "code"), "first_row").select("idx", "code")
+    left, right = (of.filter(F.pmod("at", F.lit(2)) == k).select(F.floor(F.col("at") / 2).alias(order), F.col("idx").alias(name)) for k, name in ((0, "left"), (1, "right")))
+    return functions, pairs.select(order, "label").join(left, order).join(right, order).select(order, "left", "right", "label")

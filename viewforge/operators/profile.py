@@ -61,3 +61,21 @@ def key_rollup(rows: DataFrame, json: str) -> DataFrame:
     pairs = rows.select(F.explode(F.from_json(json, "map<string,string>")).alias("key", "value"))
     number = F.col("value").try_cast("long")
     return pairs.filter(number.isNotNull()).groupBy("key").agg(F.sum(number).alias("total"), F.count("*").alias("values"))
+
+
+def seq_len_summary(log: DataFrame, run: str, order: list[str], skip: int = 1) -> DataFrame:
+    """Steady logs and median rates of each run by sequence length."""
+    rows = steady(log.filter("event = 'train'"), run, order, skip)
+    step = F.coalesce("step_s", "batch_s", F.lit(0.0))
+    return rows.groupBy(run, "seq_len").agg(
+        F.count("*").alias("logs"),
+        *(F.median(c).alias(f"median_{c}") for c in ("examples_per_s", "tokens_per_s", "batch_s")),
+        F.median(F.coalesce("loader_s", F.lit(0.0))).alias("median_loader_s"),
+        F.median(step).alias("median_step_s"),
+    )
+
+
+def markdown(table: DataFrame, order: str) -> str:
+    """A small summary as a Markdown table."""
+    rows = [[*table.columns], ["-"] * len(table.columns), *(["" if v is None else str(v) for v in r] for r in table.orderBy(order).toLocalIterator())]
+    return "\n".join(f"| {' | '.join(r)} |" for r in rows) + "\n"

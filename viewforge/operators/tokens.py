@@ -84,3 +84,15 @@ def bucketed(encoded: DataFrame, buckets: tuple[int, ...] = BUCKETS, pad: int =
     need = F.greatest(*(F.size(f"{c}_ids") for c in columns))
     rows = encoded.withColumns({"bucket_len": bucket_of(need, lengths), "truncated": need > max(lengths)})
     return rows.withColumns({f"{c}_ids": clip_and_pad(F.col(f"{c}_ids"), F.col("bucket_len"), pad) for c in columns})
+
+
+def write_cache(rows: DataFrame, path: str, shard_rows: int = 10_000, overwrite: bool = False) -> None:
+    """Bucketed rows as Parquet, one folder a bucket; a cache that is there is kept unless overwritten."""
+    rows.repartition("bucket_len").write.mode("overwrite" if overwrite else "ignore").option("maxRecordsPerFile", shard_rows).partitionBy("bucket_len").parquet(path)
+
+
+def check_cache(cache: DataFrame, vocabulary: int, longest: int, columns: tuple[str, ...] = ("anchor", "positive", "negative")) -> None:
+    """Raises if a cache holds ids that a vocabulary lacks, or buckets longer than `longest`."""
+    most = cache.agg(F.max(F.greatest(*(F.array_max(f"{c}_ids") for c in columns))).alias("id"), F.max("bucket_len").alias("length")).first()
+    if most.id is not None and (most.id >= vocabulary or most.length > longest):
+        raise ValueError(f"cache has id {most.id} and length {most.length}; at most {vocabulary - 1} and {longest} fit")

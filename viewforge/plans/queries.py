@@ -439,3 +439,69 @@ def transform_matrix(spark, sf_dir):
 
     tables = prepare(_as_code(spark, sf_dir, "go"), "v0")
     return matrix(tables["units"], tables["views"], "v0", "go")
+
+
+@query("SELECT doc_id AS source_row_index, lang AS language FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 50")
+def capped_by_language(spark, sf_dir):
+    return files.capped(_files(spark, sf_dir), ["language"], 50).select("source_row_index", "language")
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 40 OFFSET 25")
+def skip_and_take(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").offset(25).limit(40)
+
+
+@query("""WITH c AS (SELECT lang, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS p FROM documents GROUP BY lang), s AS (SELECT lang, p / n / max(p / n) OVER () AS share FROM c)
+SELECT doc_id, lang FROM documents JOIN s USING (lang) WHERE ('0x' || substr(sha256('5:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < share""")
+def language_mixture(spark, sf_dir):
+    return sampling.mixture(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.7, 5)
+
+
+@query("SELECT coalesce(nullif(lang, ''), 'unknown') AS name, row_number() OVER (ORDER BY coalesce(nullif(lang, ''), 'unknown')) - 1 AS id FROM documents GROUP BY 1")
+def language_vocabulary(spark, sf_dir):
+    return assemble.vocabulary(table(spark, sf_dir, "documents"), "lang")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT vec_id, list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))) AS u FROM v),
+p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, a.u AS l, b.u AS r FROM n a JOIN n b ON b.vec_id = a.vec_id + 1)
+SELECT left_id, right_id, len(l) * 4 AS width, round(list_sum(list_transform(list_zip(l, r), lambda z: abs(z[1] - z[2]))), 6) AS distance, round(list_inner_product(l, r), 6) AS similarity FROM p""")
+def pair_feature_sums(spark, sf_dir):
+    from viewforge.functions import vectors as V
+
+    units = table(spark, sf_dir, "embeddings").select("vec_id", V.l2_normalise(F.col("embedding")).alias("u"))
+    pairs = units.select(F.col("vec_id").alias("left_id"), F.col("u").alias("l"), (F.col("vec_id") + 1).alias("right_id")).join(units.select(F.col("vec_id").alias("right_id"), F.col("u").alias("r")), "right_id")
+    rows = pairs.select("left_id", "right_id", V.pair_features(F.col("l"), F.col("r")).alias("f"), F.size("l").alias("d"))
+
+    def total(part):
+        return F.round(F.aggregate(part, F.lit(0.0), lambda t, x: t + x), 6)
+
+    return rows.select("left_id", "right_id", F.size("f").cast("long").alias("width"), total(F.slice("f", F.col("d") * 2 + 1, F.col("d"))).alias("distance"), total(F.slice("f", F.col("d") * 3 + 1, F.col("d"))).alias("similarity"))
+
+
+@query("""WITH p AS (SELECT l.doc_id AS k, x.lang AS a, x.source AS b, l.toxic AS label FROM labels l JOIN documents x USING (doc_id)),
+s AS (SELECT 2 * k AS at, a AS code FROM p UNION ALL SELECT 2 * k + 1, b FROM p), i AS (SELECT code, row_number() OVER (ORDER BY min(at)) - 1 AS idx FROM s GROUP BY code)
+SELECT k, l.idx AS left, r.idx AS right, label FROM p JOIN i l ON l.code = a JOIN i r ON r.code = b""")
+def interned_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    rows = rows.select(F.col("doc_id").alias("k"), F.col("lang").alias("left_code"), F.col("source").alias("right_code"), F.col("toxic").alias("label"))
+    return assemble.interned_pairs(rows, "k")[1]
+
+
+@query("""WITH r AS (SELECT event_type, value, ts FROM events)
+SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS logs, round(avg(value), 6) AS mean_rate FROM r GROUP BY ALL""")
+def hourly_rates(spark, sf_dir):
+    from viewforge.streaming.run_log import hourly
+
+    return hourly(table(spark, sf_dir, "events"), "event_type", "ts", "value").withColumn("mean_rate", F.round("mean_rate", 6))
+
+
+@query()
+def sliced_gaussian(spark, sf_dir):
+    return metrics.sliced_gaussian(_vectors(spark, sf_dir)).select(F.round("sliced_gaussian", 6).alias("sliced_gaussian"))
+
+
+@query()
+def masked_byte_tokens(spark, sf_dir):
+    rows = _files(spark, sf_dir).select("source_row_index", tokens.byte_tokens(F.col("source"), 32).alias("t"))
+    masked = sampling.mask_tokens(F.col("t"), F.col("source_row_index"), 257, 257)
+    return rows.select("source_row_index", F.size(F.filter(masked, lambda m: m["target"] >= 0)).alias("masked"))

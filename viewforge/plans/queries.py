@@ -479,7 +479,7 @@ def pair_feature_sums(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT l.doc_id AS k, x.lang AS a, x.source AS b, l.toxic AS label FROM labels l JOIN documents x USING (doc_id)),
-s AS (SELECT 2 * k AS at, a AS code FROM p UNION ALL SELECT 2 * k + 1, b FROM p), i AS (SELECT code, row_number() OVER (ORDER BY min(at)) - 1 AS idx FROM s GROUP BY code)
+s AS (SELECT 2 * k AS place, a AS code FROM p UNION ALL SELECT 2 * k + 1, b FROM p), i AS (SELECT code, row_number() OVER (ORDER BY min(place)) - 1 AS idx FROM s GROUP BY code)
 SELECT k, l.idx AS left, r.idx AS right, label FROM p JOIN i l ON l.code = a JOIN i r ON r.code = b""")
 def interned_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")

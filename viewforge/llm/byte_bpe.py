@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewforge.llm.batches import small
 from viewforge.sources.tables import table
 
 QUERY = "op7_byte_bpe"
@@ -170,7 +171,7 @@ def coder(path: str, pattern: str) -> TextCoder:
 def _mapper(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             counts, ids, id_sums, byte_sums = [], [], [], []
             for text in batch.column(1).to_pylist():
                 codes = own.codes(text or "")

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewforge.llm.batches import small
 from viewforge.plans.scratch import materialise
 from viewforge.sources.tables import table
 
@@ -36,7 +37,7 @@ KEY = ["sha", "mark", "n_bytes"]
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         sha, mark, size = [], [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             text = (text or b"").lower()  # bytes.lower() changes A-Z alone

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewforge.llm.batches import small
 from viewforge.llm.components import connected_components
 from viewforge.llm.exact_dedup import group_rows
 from viewforge.plans.scratch import materialise, small_side
@@ -49,7 +50,7 @@ SPARE = 0.25
 FREQUENT = 50_000
 GROUP_CLASSES = 32
 BLOCK_CLASSES = 2_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -118,7 +119,7 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
         weights = np.bincount(at.astype(np.int64), weights=rare, minlength=k).astype(np.int64)
         best = np.argsort(-(weights * (1 << 24) + sizes), kind="stable")[: differ_at_most(n, percent) + 1]
         content = sums[ends[best]] - sums[ends[best] - sizes[best]]
-        place = best.astype(np.uint64) * _ODD[0] + np.uint64(scheme) * _ODD[1] + sizes[best].astype(np.uint64) * _ODD[2]
+        place = best.astype(np.uint64) * _ODD[0] + np.uint64((scheme * int(_ODD[1])) & (2**64 - 1)) + sizes[best].astype(np.uint64) * _ODD[2]
         out.append(mix(content ^ mix(place)))
     return np.concatenate(out)
 
@@ -128,7 +129,7 @@ def _set_mapper(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             sizes, digests, seen = [], [], {}
             for text in texts:
@@ -143,7 +144,7 @@ def _set_mapper(words: int):
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(classes, pa.int64()), none, none], names=["id", "n", "digest", "cls", "shingle", "df"])
             if seen:
                 shingle, df = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-                many = df >= max(8, len(seen) // 500)
+                many = df >= max(4, len(seen) // 100)
                 m = int(many.sum())
                 none = pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.nulls(m, pa.binary()), none, pa.array(shingle[many].view(np.int64)), pa.array(df[many])], names=["id", "n", "digest", "cls", "shingle", "df"])
@@ -155,7 +156,7 @@ def _signature_mapper(words: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         done: set[bytes] = set()
-        for batch in batches:
+        for batch in small(batches):
             sigs, classes = [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 shingles = shingler.of(text)
@@ -206,7 +207,7 @@ def _candidate_mapper(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in small(batches):
             sets, kept = [], []
             for k, (text, digest) in enumerate(zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 shingles = shingler.of(text).tobytes()

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewforge.llm.batches import small
 from viewforge.plans.scratch import materialise
 from viewforge.sources.tables import table
 
@@ -39,9 +40,7 @@ CAPACITY = 4096
 SLACK = 8
 #: Items that one task packs at most.
 GROUP_ITEMS = 50_000
-KEPT_WORDS = 800_000
-#: Texts whose new chunks are encoded together.
-ENCODED_TEXTS = 256
+KEPT_WORDS = 500_000
 ENCODED_CHUNKS = 64
 MARK = "\x01"
 LEVEL_BITS, GROUP_BITS = 56, 28
@@ -102,15 +101,14 @@ def _piecer(path: str, end_id: int, capacity: int, with_ids: bool):
         if path not in _ENCODERS:
             _ENCODERS[path] = ChunkEncoder(path)
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
-            for some in range(0, len(batch), ENCODED_TEXTS):
-                docs, texts = (column.to_pylist() for column in batch.slice(some, ENCODED_TEXTS).columns)
-                for doc, ids in zip(docs, _ENCODERS[path].ids([text or "" for text in texts]), strict=True):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+            docs, texts = (column.to_pylist() for column in batch.columns)
+            for doc, ids in zip(docs, _ENCODERS[path].ids([text or "" for text in texts]), strict=True):
+                ids += end
+                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             doc, piece, start, length, crc, part = zip(*rows, strict=True) if rows else [()] * 6
             columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["id", "piece", "start", "length", "ids_crc32"]

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewforge.llm.batches import small
 from viewforge.plans.scratch import materialise
 from viewforge.sources.tables import table
 
@@ -88,7 +89,7 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _statistics_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = [statistics(text or b"") for text in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
 

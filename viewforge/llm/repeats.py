@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewforge.llm.batches import small
 from viewforge.plans.scratch import materialise
 from viewforge.sources.tables import table
 
@@ -130,7 +131,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
     offsets: list[int] = []
     parts: list[bytes] = []
     size = 0
-    for batch in batches:
+    for batch in small(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             if doc is None or text is None or len(text) < LENGTH:
                 continue
@@ -207,7 +208,7 @@ def _classes_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _cores_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each contested span the parts whose windows hold the right or the left core: key, doc, start, text."""
-    for batch in batches:
+    for batch in small(batches):
         keys, docs, starts, texts = [], [], [], []
         for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             for at in spans:
@@ -299,7 +300,7 @@ def _repeats_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "start", "size", "digest"])
 
-    for batch in batches:
+    for batch in small(batches):
         for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if k != key:
                 finish()
@@ -333,7 +334,7 @@ def cut(text: bytes, marks: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def _cut_mapper(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text, marks in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = text or b""
@@ -382,7 +383,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at, chars = columns.index(text_col), columns.index(chars_col) if chars_col in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             arrays = batch.columns[: len(columns)]
             rows = zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)
             left = [cut(text or b"", [(m["start"], m["size"]) for m in marks or ()])[0].decode("utf-8", "ignore") for text, marks in rows]

@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewforge.llm.batches import small
 from viewforge.sources.tables import table
 
 QUERY = "op10_token_counts"
@@ -125,7 +126,7 @@ def _mapper(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _COUNTERS:
             _COUNTERS[path] = WordCounter(path)
-        for batch in batches:
+        for batch in small(batches):
             counts = [_COUNTERS[path].count(text or "") for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([w for w, _ in counts], pa.int64()), pa.array([n for _, n in counts], pa.int64())],

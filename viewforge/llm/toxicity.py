@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewforge.llm.batches import small
 from viewforge.plans.scratch import materialise
 from viewforge.sources.tables import table
 
@@ -157,7 +158,7 @@ def _count_mapper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts = toxic if y else clean
             for entry in entries_of(set(fold(text or "").split())):
                 counts[entry] = counts.get(entry, 0) + 1
-            if len(toxic) + len(clean) > 400_000:
+            if len(toxic) + len(clean) > 200_000:
                 yield flush()
     yield flush()
 
@@ -217,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, training_rows: int = TRAINING
 
 def _score_mapper(scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()), pa.float64())], names=["id", "score"])
 
     return run
@@ -233,7 +234,7 @@ def clean_rows(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshol
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,12 +5,15 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from viewforge.llm import packing as K
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", " ", "a<|endoftext|>b <|startoftext|> x", "İstanbul ΑΣ ΣΑΣ. é ́x", "a\x1cb\x1f c", "x　y\xa0z\x85w q", "don't I'LL we're 12345 ½ ²", "ＡＢ ﬁ 가 각", "\x01 \x01a \x01\x01", "word " * 9000]
+_THEIRS: list[Tokenizer] = []
+TEXTS = ["", " ", "a<|endoftext|>b <|startoftext|> x", "İstanbul ΑΣ ΣΑΣ. é ́x", "a\x1cb\x1f c", "x　y\xa0z\x85w q", "don't I'LL we're 12345 ½ ²", "ＡＢ ﬁ 가 각", "\x01 \x01a \x01\x01", "ÀÉß ǅ Ǆ Ⱥ ĲŉŁ_x_ _a, ª² ³¼ \x7f\x80\x9f", "\u212a \u212b it's, IT'S", "word " * 9000]
 
 
 def test_chunks_are_the_tokenizer():
@@ -19,6 +22,15 @@ def test_chunks_are_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=80) | st.text(alphabet=[chr(k) for k in range(0x250)], max_size=80), max_size=6))
+def test_any_chunks(texts):
+    theirs, ours = Tokenizer.from_file(PATH) if not _THEIRS else _THEIRS[0], K._ENCODERS.setdefault(PATH, K.ChunkEncoder(PATH))
+    _THEIRS[:] = [theirs]
+    for text, ids in zip(texts, ours.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit():
     bins, offsets, fills = K.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8] and fills == [10, 10]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,10 +27,12 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewforge.llm.batches import small
+from viewforge.llm.token_counts import WORDS, byte_characters
 from viewforge.plans.scratch import materialise
 from viewforge.sources.tables import table
 
@@ -41,8 +44,6 @@ SLACK = 8
 #: Items that one task packs at most.
 GROUP_ITEMS = 50_000
 KEPT_WORDS = 500_000
-ENCODED_CHUNKS = 64
-MARK = "\x01"
 LEVEL_BITS, GROUP_BITS = 56, 28
 
 
@@ -60,35 +61,42 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        self.merges, self.symbols, self.split = self.tokenizer.model.tokenize, byte_characters(), regex.compile(WORDS).findall
         self.odd = re.compile("[\x1c-\x1f]").search
         self._kept: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks, many to a call: a control character stands between them and is cut out again."""
-        plain = [c for c in chunks if MARK not in c]
-        marked = [c for c in chunks if MARK in c]
-        found = dict(zip(marked, self._encode(marked), strict=True))
-        groups = [plain[k : k + ENCODED_CHUNKS] for k in range(0, len(plain), ENCODED_CHUNKS)]
-        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(coded.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            data, at = ids.tobytes(), 0
-            for chunk, end in zip(group, ends, strict=True):
-                found[chunk] = data[4 * at : 4 * end]
-                at = end + 1
-        return [found[c] for c in chunks]
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one lower-case word, straight from the merges."""
+        ids = self._kept.get(piece)
+        if ids is None:
+            found = [t.id for t in self.merges(piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode())))]
+            ids = self._kept[piece] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def _add(self, chunks: set[str]) -> None:
+        """Puts the ids of new chunks into the table.
+
+        Letters below U+0250 are composed as they are and lower-cased one by one, so such
+        chunks are split into words here; others go through the whole tokenizer.
+        """
+        others = []
+        for chunk in chunks:
+            if (chunk.isascii() or max(chunk) < "\u0250" and "\u0130" not in chunk) and "<|" not in chunk:
+                low = chunk.lower()
+                self._kept[chunk] = self._piece(low) if low.isalpha() else b"".join(map(self._piece, self.split(low)))
+            else:
+                others.append(chunk)
+        self._kept.update(zip(others, self._encode(others), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new chunks are encoded in one call."""
         if len(self._kept) > KEPT_WORDS:
             self._kept.clear()
         chunks = [None if self.odd(text) else text.split() for text in texts]
-        new = list(set().union(*filter(None, chunks)).difference(self._kept))
-        self._kept.update(zip(new, self._encode_chunks(new), strict=True))
+        self._add(set().union(*filter(None, chunks)).difference(self._kept))
         kept = self._kept.__getitem__
         return [self._encode([text])[0] if own is None else b"".join(map(kept, own)) for text, own in zip(texts, chunks, strict=True)]
 

@@ -50,7 +50,9 @@ SPARE = 0.25
 FREQUENT = 50_000
 GROUP_CLASSES = 32
 BLOCK_CLASSES = 2_000
-KEPT_WORDS = 200_000
+#: Classes whose copies a task leaves out; beyond them copies are emitted again.
+KEPT_CLASSES = 200_000
+CHUNK_BYTES = 1 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -62,29 +64,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted sets of shingle hashes, with a bounded table of word hashes."""
-
-    def __init__(self, words: int = WORDS):
-        self.words = words
-        self._kept: dict[bytes, int] = {}
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space alone
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self._kept) > KEPT_WORDS:
-            self._kept.clear()
-        found = list(map(self._kept.get, words))
-        if None in found:
-            self._kept.update((w, xxhash.xxh3_64_intdigest(w)) for w, h in zip(words, found, strict=True) if h is None)
-            found = list(map(self._kept.get, words))
-        hashes = np.array(found, np.uint64)
-        n = min(self.words, len(words))
-        total = np.full(len(words) - n + 1, n, np.uint64)
-        for k in range(n):
-            total += mix(hashes[k : len(words) - n + 1 + k] * _ODD[k % 8] + np.uint64(k))
-        return np.unique(mix(total))
+#: A random number for each byte; capitals have that of their small letters.
+_BYTE = np.random.default_rng(20_240_802).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64, up to n."""
+    if len(_POWERS[0]) < n:
+        for k, m in enumerate((int(_ODD[7]), pow(int(_ODD[7]), -1, 1 << 64))):
+            factors = np.full(max(n, CHUNK_BYTES), m, np.uint64)
+            factors[0] = 1
+            _POWERS[k] = np.multiply.accumulate(factors)
+    return _POWERS
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each word of data, which ends in white space."""
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        stop = min(len(data), at + CHUNK_BYTES)
+        if stop < len(data):
+            # a chunk ends behind white space; a word longer than a chunk stays whole
+            ends = [data.rfind(c, at, stop) for c in (b" ", b"\n")]
+            stop = 1 + max(ends) if max(ends) >= 0 else 1 + min((x for c in (b" ", b"\n") if (x := data.find(c, stop)) >= 0), default=len(data) - 1)
+        part = np.frombuffer(data, np.uint8, stop - at, at)
+        space = _SPACE[part]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edges = np.concatenate([[0], edges])
+        starts, ends = edges[::2], edges[1::2]
+        powers, inverse = _powers(len(part))
+        sums = np.cumsum(_BYTE[part] * powers[: len(part)], dtype=np.uint64)
+        before = np.where(starts > 0, sums[starts - 1], 0).astype(np.uint64)
+        hashes.append(mix((sums[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD[5]))
+        places.append(starts + at)
+        at = stop
+    return (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each text."""
+    parts = [text or b"" for text in texts]
+    hashes, places = _word_hashes(b"".join(part + b"\n" for part in parts))
+    cuts = np.searchsorted(places, np.concatenate([[0], np.cumsum([len(part) + 1 for part in parts])])).tolist()
+
+    def joined(run: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(max(0, len(run) - n + 1), n, np.uint64)
+        for k in range(n if len(total) else 0):
+            total += run[k : len(run) - n + 1 + k] * _ODD[k % 8]
+        return mix(total)
+
+    every, out = joined(hashes, words), []
+    for first, last in zip(cuts, cuts[1:], strict=False):
+        n = last - first
+        found = every[first : last - words + 1] if n >= words else joined(hashes[first:last], n) if n else hashes[:0]
+        found = np.sort(found)
+        out.append(found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) > 1 else found)
+    return out
 
 
 def differ_at_most(n: int, percent: int) -> int:
@@ -128,12 +168,10 @@ def _set_mapper(words: int):
     """A row for each text: id, n, set (128-bit digest), cls; and rows of shingles frequent in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
         for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             sizes, digests, seen = [], [], {}
-            for text in texts:
-                shingles = shingler.of(text)
+            for shingles in shingle_sets(texts, words):
                 digest = xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
                 sizes.append(len(shingles))
                 digests.append(digest)
@@ -154,15 +192,13 @@ def _set_mapper(words: int):
 
 def _signature_mapper(words: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
         done: set[bytes] = set()
         for batch in small(batches):
             sigs, classes = [], []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                shingles = shingler.of(text)
+            for shingles in shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), words):
                 digest = xxhash.xxh3_128_digest(shingles.tobytes())[:8]
                 if len(shingles) and digest not in done:
-                    if len(done) < KEPT_WORDS:
+                    if len(done) < KEPT_CLASSES:
                         done.add(digest)
                     sigs.append(signatures(shingles, frequent, percent))
                     classes.append(np.full(len(sigs[-1]), int.from_bytes(digest, "little", signed=True), np.int64))
@@ -206,11 +242,11 @@ def _candidate_mapper(words: int):
     """The sets of candidate texts, as sorted 64-bit hashes; rows of other texts under their identifiers go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
         for batch in small(batches):
             sets, kept = [], []
-            for k, (text, digest) in enumerate(zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                shingles = shingler.of(text).tobytes()
+            found = shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), words)
+            for k, (shingles, digest) in enumerate(zip(found, batch.column(1).to_pylist(), strict=True)):
+                shingles = shingles.tobytes()
                 if xxhash.xxh3_128_digest(shingles) == digest:
                     sets.append(shingles)
                     kept.append(k)

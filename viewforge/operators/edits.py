@@ -26,6 +26,7 @@ def text_edit(files: DataFrame, name: str) -> DataFrame:
                 new = changed[0] if isinstance(changed, tuple) else changed
                 if new is not None and new.strip() != source.strip():
                     out.append((index, new.rstrip() + "\n"))
-            yield pd.DataFrame(out, columns=["source_row_index", "code"]).astype({"source_row_index": "int64"})
+            if out:
+                yield pd.DataFrame(out, columns=["source_row_index", "code"])
 
     return files.select("source_row_index", "source", "language").mapInPandas(run, "source_row_index long, code string")

@@ -31,6 +31,8 @@ TRIPLE_LABELS = {
     "negative_semantic_label": "far",
     "negative_local_label": "changed_span_important",
 }
+#: Characters of packed rows that leave a task together.
+PACKED_CHARS = 4 << 20
 PAIR_LABELS = {"semantic_label": "close", "strategy_label": "far/maybe", "local_label": "diffuse"}
 
 
@@ -272,14 +274,24 @@ class FileRows:
 
 def _mapper(stage: str, options: Options):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: list[str] = []
+        rows: list[str] = []
+        size = 0
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 try:
                     found = FileRows(row, stage, options).rows()
                 except (RecursionError, MemoryError):
-                    found = []
-                if found:
-                    yield pd.DataFrame({"table": [t for t, _ in found], "row": [json.dumps(r, ensure_ascii=False) for _, r in found]})
+                    continue
+                tables += [t for t, _ in found]
+                packed = [json.dumps(r, ensure_ascii=False) for _, r in found]
+                rows += packed
+                size += sum(map(len, packed))
+                if size > PACKED_CHARS:
+                    yield pd.DataFrame({"table": tables, "row": rows})
+                    tables, rows, size = [], [], 0
+        if rows:
+            yield pd.DataFrame({"table": tables, "row": rows})
 
     return run
 
@@ -356,7 +368,8 @@ def prepare_tasks(tasks: DataFrame, dataset: str, options: Options | None = None
                 elif language in L.LANGUAGES:
                     names, called = L.identifiers(text, L.LANGUAGES[language]), L.calls(text, L.LANGUAGES[language])
                 found.append((p.parse_ok, p.compile_ok, p.error, json.dumps(names, ensure_ascii=False), json.dumps(called, ensure_ascii=False), " ".join(sequence)))
-            yield pdf.assign(**dict(zip(("parse_ok", "compile_ok", "error", "identifiers_json", "calls_json", "ast_sequence"), map(list, zip(*found, strict=True)), strict=True))) if found else pdf.iloc[:0]
+            if found:
+                yield pdf.assign(**dict(zip(("parse_ok", "compile_ok", "error", "identifiers_json", "calls_json", "ast_sequence"), map(list, zip(*found, strict=True)), strict=True)))
 
     extra = "parse_ok boolean, compile_ok boolean, error string, identifiers_json string, calls_json string, ast_sequence string"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + extra

@@ -40,6 +40,14 @@ def test_toxicity_cases(spark):
     assert toxicity.toxicity_scores(df.limit(0), scorer).count() == 0
 
 
+def test_empty_partitions(spark):
+    docs = spark.createDataFrame([(k, "you idiot fool" if k % 2 else "fine words here") for k in range(40)], "doc_id long, text string").repartition(30)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic", "1 AS quality").filter("doc_id < 30")
+    out = {r.id: r.score for r in toxicity.toxicity_scores(docs, toxicity.fit(docs, labels, F.lit(True))).collect()}
+    assert min(out[k] for k in range(1, 40, 2)) > max(out[k] for k in range(0, 40, 2))
+    assert quality.quality_scores(docs, labels, F.lit(True)).count() == 40
+
+
 def test_folding_and_exceptions():
     matcher = toxicity.Matcher(toxicity.BUILT_IN)
     for text in ("IDIOT", "1d1ot", "іdіоt", "you,idiot!", "id​iot"):

@@ -160,7 +160,8 @@ def _count_mapper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 counts[entry] = counts.get(entry, 0) + 1
             if len(toxic) + len(clean) > 200_000:
                 yield flush()
-    yield flush()
+    if toxic or clean:
+        yield flush()
 
 
 class Scorer:

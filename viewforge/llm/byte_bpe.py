@@ -36,125 +36,154 @@ QUERY = "op7_byte_bpe"
 
 LEAF_BYTES = 32
 HEAP_BYTES = 96
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 
 
 class TreeBpe:
-    """Encoder and decoder over a table of ranks: bytes of a token to its id."""
+    """Encoder and decoder over a table of ranks: bytes of a token to its id.
+
+    Ids stand for tokens throughout. A pair of ids is one number, and pairs holds the
+    id, which is the rank, of every token that is two others joined.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.none = 1 + max(ranks.values())
+        self.single = [ranks.get(bytes([k]), self.none) for k in range(256)]
+        cuts = ((ranks.get(token[:k]), ranks.get(token[k:]), rank) for token, rank in ranks.items() for k in range(1, len(token)))
+        self.pairs = {a * self.none + b: rank for a, b, rank in cuts if a is not None and b is not None}
+        self._known: dict[int, bool] = {}
 
     @classmethod
     def from_file(cls, path: str) -> TreeBpe:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
 
-    def _merged(self, parts: list[bytes]) -> list[bytes]:
+    def merged(self, ids: list[int]) -> list[int]:
         """Merges the leftmost pair of lowest rank until no pair has one."""
-        if len(parts) > HEAP_BYTES:
-            return self._merged_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = at = None
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if at is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _merged_long(self, parts: list[bytes]) -> list[bytes]:
+        if len(ids) > HEAP_BYTES:
+            return self.merged_long(ids)
+        none, get = self.none, self.pairs.get
+        ranks = [get(a * none + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != none:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(best * none + ids[i + 1], none)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * none + best, none)
+        return ids
+
+    def merged_long(self, ids: list[int]) -> list[int]:
         """The same by a heap of pairs over a linked list."""
-        ranks, n = self.ranks, len(parts)
+        none, get, n = self.none, self.pairs.get, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank, i, parts[i], parts[i + 1]) for i in range(n - 1) if (rank := ranks.get(parts[i] + parts[i + 1])) is not None]
+        heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (rank := get(a * none + b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if parts[i] is not left or j >= n or parts[j] is not right:
+            if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            parts[i], parts[j] = left + right, b""
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (rank := ranks.get(parts[i] + parts[after[j]])) is not None:
-                    heapq.heappush(heap, (rank, i, parts[i], parts[after[j]]))
-            if before[i] >= 0 and (rank := ranks.get(parts[before[i]] + parts[i])) is not None:
-                heapq.heappush(heap, (rank, before[i], parts[before[i]], parts[i]))
-        return [part for part in parts if part]
-
-    def _leaf(self, data: bytes) -> list[bytes]:
-        return [data] if data in self.ranks else self._merged([data[i : i + 1] for i in range(len(data))])
-
-    def _stable(self, left: bytes, right: bytes) -> bool:
-        known = self._pairs.get((left, right))
+            ids[i], ids[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (new := get(rank * none + ids[k])) is not None:
+                    heapq.heappush(heap, (new, i, rank, ids[k]))
+            if (h := before[i]) >= 0 and (new := get(ids[h] * none + rank)) is not None:
+                heapq.heappush(heap, (new, h, ids[h], rank))
+        return [x for x in ids if x >= 0]
+
+    def leaf(self, data: bytes) -> list[int]:
+        """The ids of a short run of bytes."""
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else self.merged([self.single[b] for b in data])
+
+    def stable(self, left: int, right: int) -> bool:
+        """Whether two neighbours, encoded alone, stay what they are."""
+        key = left * self.none + right
+        known = self._known.get(key)
         if known is None:
-            if len(self._pairs) >= KEPT_WORDS:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self._leaf(left + right) == [left, right]
+            if len(self._known) >= KEPT_WORDS:
+                self._known.clear()
+            known = self._known[key] = self.leaf(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
-    def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
+    def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of left followed by those of right."""
-        if not left or not right or self._stable(left[-1], right[0]):
+        if not left or not right or self.stable(left[-1], right[0]):
             return left + right
         a = b = 1
         while True:
-            window = self._leaf(b"".join(left[-a:]) + b"".join(right[:b]))
-            left_ok = a >= len(left) or self._stable(left[-a - 1], window[0])
-            right_ok = b >= len(right) or self._stable(window[-1], right[b])
+            window = self.leaf(self.decode(left[-a:]) + self.decode(right[:b]))
+            left_ok = a >= len(left) or self.stable(left[-a - 1], window[0])
+            right_ok = b >= len(right) or self.stable(window[-1], right[b])
             if left_ok and right_ok:
                 return left[: max(0, len(left) - a)] + window + right[b:]
             a, b = (a if left_ok else 2 * a), (b if right_ok else 2 * b)
 
-    def tokens(self, word: bytes) -> list[bytes]:
+    def encode_word(self, word: bytes) -> list[int]:
         if len(word) <= LEAF_BYTES:
-            return self._leaf(word) if word else []
+            return self.leaf(word) if word else []
         if word in self.ranks:
-            return [word]
+            return [self.ranks[word]]
         half = 1 << ((len(word) - 1).bit_length() - 1)
-        return self.join(self.tokens(word[:half]), self.tokens(word[half:]))
-
-    def encode_word(self, word: bytes) -> list[int]:
-        return [self.ranks[token] for token in self.tokens(word)]
+        return self.join(self.encode_word(word[:half]), self.encode_word(word[half:]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 class TextCoder:
-    """Whole texts to decimal ids and back, word by word, with a bounded table of words."""
+    """Whole texts to decimal ids and back, with a bounded table of words and chunks.
+
+    A text is first cut before each single space; such a chunk has the same words in it
+    as it has in the text, as a space goes with what follows it. Only where a space
+    stands between white space is that not so; texts with one are cut into words whole.
+    """
 
     def __init__(self, bpe: TreeBpe, pattern: str):
         self.bpe, self.words = bpe, regex.compile(pattern).findall
+        self.inside = regex.compile(r"\s \s").search
         self._codes: dict[str, bytes] = {}
         self._bytes: dict[bytes, bytes] = {}
 
+    def _word(self, word: str) -> bytes:
+        code = self._codes.get(word)
+        if code is None:
+            ids = self.bpe.encode_word(word.encode())
+            code = self._codes[word] = b" ".join([b"%d" % i for i in ids])
+            self._bytes[code] = self.bpe.decode(ids)
+        return code
+
+    def _chunk(self, chunk: str) -> bytes:
+        words = list(map(self._word, self.words(chunk)))
+        code = self._codes[chunk] = b" ".join(words)
+        self._bytes[code] = b"".join(map(self._bytes.__getitem__, words))
+        return code
+
     def codes(self, text: str) -> list[bytes]:
-        """The decimal ids of each word."""
-        words = self.words(text)
+        """The decimal ids of each chunk or word."""
         if len(self._codes) > KEPT_WORDS:
             self._codes.clear()
             self._bytes.clear()
-        found = list(map(self._codes.get, words))
+        if self.inside(text):
+            return list(map(self._word, self.words(text)))
+        first, *others = text.split(" ")
+        chunks = [*[first] * bool(first), *[" " + part for part in others]]
+        found = list(map(self._codes.get, chunks))
         if None in found:
-            for word in {w for w, code in zip(words, found, strict=True) if code is None}:
-                self._codes[word] = b" ".join(b"%d" % i for i in self.bpe.encode_word(word.encode()))
-            found = list(map(self._codes.get, words))
+            found = [code if code is not None else self._codes.get(chunk) or self._chunk(chunk) for chunk, code in zip(chunks, found, strict=True)]
         return found
 
     def decoded(self, codes: list[bytes]) -> bytes:
+        """The bytes of ids: those of chunks, which are those of their words, one after the other."""
         parts = list(map(self._bytes.get, codes))
         if None in parts:
-            for code in {c for c, part in zip(codes, parts, strict=True) if part is None}:
-                self._bytes[code] = self.bpe.decode(list(map(int, code.split())))
-            parts = list(map(self._bytes.get, codes))
+            parts = [part if part is not None else self.bpe.decode(list(map(int, code.split()))) for code, part in zip(codes, parts, strict=True)]
         return b"".join(parts)
 
 

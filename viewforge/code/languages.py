@@ -10,6 +10,7 @@ from viewforge.code import pyast
 #: Tokens of names, calls and string literals.
 NAME = re.compile(r"\b[A-Za-z_$][A-Za-z0-9_$]*\b")
 CALL = re.compile(r"\b([A-Za-z_$][A-Za-z0-9_$.]*)\s*\(")
+BRACKET = re.compile(r"[()\[\]{}]")
 STRING = re.compile(r"('(?:\\.|[^'\\])*+'|\"(?:\\.|[^\"\\])*+\")", re.S)
 
 #: Words that are no identifiers, in all languages and in each.
@@ -65,10 +66,10 @@ def blanked(code: str, language: Language) -> str:
 def balanced(code: str) -> bool:
     """Whether brackets outside strings close in the order in which they open."""
     open_, closing = [], {")": "(", "]": "[", "}": "{"}
-    for c in STRING.sub("", code):
+    for c in BRACKET.findall(STRING.sub("", code)):
         if c in "([{":
             open_.append(c)
-        elif c in closing and (not open_ or open_.pop() != closing[c]):
+        elif not open_ or open_.pop() != closing[c]:
             return False
     return not open_
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from viewforge.operators import metrics
+from viewforge.operators import metrics, tokens
 from viewforge.plans.queries import ORACLES, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
@@ -37,3 +38,18 @@ def test_retrieval_metrics_of_all_queries(spark):
     want = duck.execute(ORACLES["retrieval_metrics"].replace(" AND rank <= 50", "")).df()
     got = QUERIES["retrieval_metrics"](spark, TABLES).toPandas()[list(want.columns)]
     assert got["queries"][0] == 500 and got.astype(str).equals(want.astype(str))
+
+
+def test_all_bytes_are_tokens_and_masked(spark):
+    texts = spark.createDataFrame([(1, "é" * 300), (2, ""), (3, "abc")], "id long, s string")
+    got = {r["id"]: r["t"] for r in texts.select("id", tokens.byte_ids(F.encode("s", "UTF-8")).alias("t")).collect()}
+    assert got == {1: [b + 1 for b in "é".encode()] * 300, 2: [], 3: [98, 99, 100]}
+    # about 15 % of all bytes, not of the first few
+    sizes = {r["doc_id"]: r["n"] for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", F.octet_length("text").alias("n")).collect()}
+    masked = {r["source_row_index"]: r["masked"] for r in QUERIES["masked_byte_tokens"](spark, TABLES).collect()}
+    assert 0.14 < sum(masked.values()) / sum(n or 0 for n in sizes.values()) < 0.16
+
+
+def test_byte_tokens_at_the_length_of_the_reference(spark):
+    rows = QUERIES["byte_tokens_padded_256"](spark, TABLES).collect()
+    assert {len(r["tokens"].split(" ")) for r in rows} == {256} and max(r["n"] for r in rows) == 256

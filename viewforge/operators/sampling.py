@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewforge.operators.ranking import running
+from viewforge.operators.tokens import once
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -93,12 +94,17 @@ def label_triplets(rows: DataFrame, seed: int) -> DataFrame:
 def mask_tokens(tokens: Column, key: Column, vocabulary: int, mask_id: int, share: float = 0.15, seed: int = 0) -> Column:
     """tokens with about share of them masked: of ten, eight as mask_id, one at random, one as it is; one at least."""
 
-    def pick(x: Column, i: Column, forced: Column) -> Column:
-        chosen = (uniform(seed, key, i) < share) | forced
+    def pick(x: Column, i: Column, chosen: Column) -> Column:
         kind = uniform(seed + 1, key, i)
         other = F.floor(uniform(seed + 2, key, i) * vocabulary).cast("int")
         return F.struct(F.when(chosen & (kind < 0.8), F.lit(mask_id)).when(chosen & (kind < 0.9), other).otherwise(x).alias("token"), F.when(chosen, x).otherwise(-100).alias("target"))
 
-    none = ~F.exists(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: uniform(seed, key, i) < share)
-    first = F.floor(uniform(seed + 3, key) * F.size(tokens)).cast("int")
-    return F.when(F.size(tokens) > 0, F.transform(tokens, lambda x, i: pick(x, i, none & (i == first))))
+    def mask(t: Column) -> Column:
+        drawn = F.transform(t, lambda _, i: uniform(seed, key, i) < share)
+        first = F.floor(uniform(seed + 3, key) * F.size(t)).cast("int")
+        draws = F.struct(drawn.alias("drawn"), first.alias("first"))
+        # whether any is drawn is asked at one place only, so the work stays linear in the tokens
+        each = once(draws, lambda d: F.transform(t, lambda x, i: pick(x, i, d["drawn"][i] | ((i == d["first"]) & ~F.exists(d["drawn"], lambda y: y)))))
+        return F.when(F.size(t) > 0, each)
+
+    return once(tokens, mask)

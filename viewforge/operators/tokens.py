@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,13 +49,26 @@ def clip_and_pad(ids: Column, length: Column | int, pad: int) -> Column:
     return F.concat(cut, F.array_repeat(F.lit(pad).cast("int"), (length - F.size(cut)).cast("int")))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of value, which is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def byte_ids(data: Column) -> Column:
+    """All bytes of a binary column, plus one."""
+
+    def ids(x: Column) -> Column:
+        # two hexadecimal digits a byte
+        each = F.transform(F.sequence(F.lit(1), F.octet_length(x)), lambda i: F.conv(F.hex(F.substring(x, i, F.lit(1))), 16, 10).cast("int") + 1)
+        return F.when(F.octet_length(x) > 0, each).otherwise(F.array().cast("array<int>"))
+
+    return once(data, ids)
+
+
 def byte_tokens(text: Column, length: int) -> Column:
     """UTF-8 bytes plus one, cut at length and padded with zeros."""
-    cut = F.substring(F.encode(text, "UTF-8"), 1, length)
-    # two hexadecimal digits a byte
-    digits = F.hex(cut)
-    values = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.when(i * 2 <= F.length(digits), F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1).otherwise(0))
-    return values
+    cut = F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, length)
+    return once(byte_ids(cut), lambda t: clip_and_pad(t, length, 0))
 
 
 def mode_tokens(body: Column, mode: Column, length: int, bos: int, eos: int, pad: int) -> Column:

@@ -157,12 +157,24 @@ def bucket_by_length(spark, sf_dir):
     return rows.groupBy("bucket_len").agg(F.count("*").alias("examples"), F.count_if(F.col("need") > max(tokens.BUCKETS)).alias("truncated"))
 
 
+def _byte_tokens(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    rows = _files(spark, sf_dir).select("source_row_index", tokens.byte_tokens(F.col("source"), length).alias("t"))
+    return rows.select("source_row_index", F.array_join(F.transform("t", lambda x: x.cast("string")), " ").alias("tokens"), F.size(F.filter("t", lambda x: x > 0)).cast("long").alias("n"))
+
+
 @query(f"""WITH {_FILES}, b AS (SELECT source_row_index, hex(encode(source)) AS h FROM f),
 t AS (SELECT source_row_index, list_transform(generate_series(1, 64), lambda i: CASE WHEN 2 * i <= length(h) THEN ('0x' || substr(h, 2 * i - 1, 2))::INT + 1 ELSE 0 END) AS x FROM b)
 SELECT source_row_index, array_to_string(x, ' ') AS tokens, len(list_filter(x, lambda y: y > 0)) AS n FROM t""")
 def byte_tokens_padded(spark, sf_dir):
-    rows = _files(spark, sf_dir).select("source_row_index", tokens.byte_tokens(F.col("source"), 64).alias("t"))
-    return rows.select("source_row_index", F.array_join(F.transform("t", lambda x: x.cast("string")), " ").alias("tokens"), F.size(F.filter("t", lambda x: x > 0)).cast("long").alias("n"))
+    return _byte_tokens(spark, sf_dir, 64)
+
+
+# the reference's default length
+@query(f"""WITH {_FILES}, b AS (SELECT source_row_index, hex(encode(source)) AS h FROM f),
+t AS (SELECT source_row_index, list_transform(generate_series(1, 256), lambda i: CASE WHEN 2 * i <= length(h) THEN ('0x' || substr(h, 2 * i - 1, 2))::INT + 1 ELSE 0 END) AS x FROM b)
+SELECT source_row_index, array_to_string(x, ' ') AS tokens, len(list_filter(x, lambda y: y > 0)) AS n FROM t""")
+def byte_tokens_padded_256(spark, sf_dir):
+    return _byte_tokens(spark, sf_dir, 256)
 
 
 @query("SELECT min(doc_id) AS first_row, (row_number() OVER (ORDER BY min(doc_id)) - 1) AS idx FROM documents GROUP BY coalesce(text, '')")
@@ -502,6 +514,6 @@ def sliced_gaussian(spark, sf_dir):
 
 @query()
 def masked_byte_tokens(spark, sf_dir):
-    rows = _files(spark, sf_dir).select("source_row_index", tokens.byte_tokens(F.col("source"), 32).alias("t"))
+    rows = _files(spark, sf_dir).select("source_row_index", tokens.byte_ids(F.encode("source", "UTF-8")).alias("t"))
     masked = sampling.mask_tokens(F.col("t"), F.col("source_row_index"), 257, 257)
     return rows.select("source_row_index", F.size(F.filter(masked, lambda m: m["target"] >= 0)).alias("masked"))

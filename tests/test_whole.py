@@ -53,3 +53,10 @@ def test_all_bytes_are_tokens_and_masked(spark):
 def test_byte_tokens_at_the_length_of_the_reference(spark):
     rows = QUERIES["byte_tokens_padded_256"](spark, TABLES).collect()
     assert {len(r["tokens"].split(" ")) for r in rows} == {256} and max(r["n"] for r in rows) == 256
+
+
+def test_rejects_at_the_limit_of_the_operator(spark, tmp_path):
+    text = "word word word word word word\\n" * 1000
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    reasons = {name: [r["reason"] for r in QUERIES[name](spark, str(tmp_path)).collect()] for name in ("row_filters_rejects", "row_filters_rejects_200k")}
+    assert reasons == {"row_filters_rejects": ["skipped_too_large"], "row_filters_rejects_200k": ["skipped_loc"]}

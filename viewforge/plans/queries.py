@@ -135,6 +135,14 @@ def row_filters_rejects(spark, sf_dir):
     return rows.groupBy("language", "reason").agg(F.count("*").alias("files"))
 
 
+# the operator's and the reference's own limit
+@query(f"""WITH {_FILES}, r AS (SELECT CASE WHEN NOT regexp_matches(source, '{NOT_SPACE}') THEN 'skipped_empty' WHEN length(source) > 200000 THEN 'skipped_too_large'
+WHEN {_sql_tokens("source")} < 16 THEN 'skipped_too_small' WHEN {_sql_loc("source")} NOT BETWEEN 3 AND 250 THEN 'skipped_loc' ELSE 'kept' END AS reason, language FROM f)
+SELECT language, reason, count(*) AS files FROM r GROUP BY ALL""")
+def row_filters_rejects_200k(spark, sf_dir):
+    return files.reject_reasons(_files(spark, sf_dir)).groupBy("language", "reason").agg(F.count("*").alias("files"))
+
+
 @query(f"""WITH {_FILES}, t AS (SELECT source_row_index, {_sql_tokens("source")} AS tokens FROM f),
 b AS (SELECT *, (sum(tokens) OVER (ORDER BY source_row_index) - tokens)::BIGINT AS tokens_before FROM t) SELECT * FROM b WHERE tokens_before < 200000""")
 def token_budget_prefix(spark, sf_dir):

@@ -60,3 +60,10 @@ def test_rejects_at_the_limit_of_the_operator(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     reasons = {name: [r["reason"] for r in QUERIES[name](spark, str(tmp_path)).collect()] for name in ("row_filters_rejects", "row_filters_rejects_200k")}
     assert reasons == {"row_filters_rejects": ["skipped_too_large"], "row_filters_rejects_200k": ["skipped_loc"]}
+
+
+def test_windows_of_the_reference_cover_680_lines(spark, tmp_path):
+    text = "".join(f"line {k}\n" for k in range(1, 701))
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    last = {name: max(r["end_line"] for r in QUERIES[name](spark, str(tmp_path)).collect()) for name in ("file_windows", "file_windows_120")}
+    assert last == {"file_windows": 90, "file_windows_120": 680}

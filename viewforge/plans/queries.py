@@ -100,6 +100,16 @@ def file_windows(spark, sf_dir):
     return rows.select("source_row_index", "path", "window_index", "start_line", "end_line", "code")
 
 
+# the operator's and the reference's own windows: 8 of them cover 680 lines
+@query(f"""WITH {_FILES}, l AS (SELECT source_row_index, path, {_LINES} AS lines FROM f),
+w AS (SELECT *, unnest(generate_series(0, len(lines) - 1, 80)) AS s FROM l WHERE len(lines) >= 120),
+c AS (SELECT source_row_index, path, (s // 80)::INT AS window_index, (s + 1)::INT AS start_line, least(len(lines), s + 120)::INT AS end_line, {_sql_rstrip("array_to_string(lines[s + 1 : least(len(lines), s + 120)], chr(10))")} || chr(10) AS code FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_row_index ORDER BY window_index) AS n FROM c WHERE regexp_matches(code, '{NOT_SPACE}'))
+SELECT * EXCLUDE n FROM n WHERE n <= 8""")
+def file_windows_120(spark, sf_dir):
+    return files.file_windows(_files(spark, sf_dir)).select("source_row_index", "path", "window_index", "start_line", "end_line", "code")
+
+
 @query(f"""WITH {_FILES}, l AS (SELECT source_row_index, string_split_regex(source, '{BREAK}') AS x FROM f), m AS (SELECT source_row_index, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS lines FROM l)
 SELECT source_row_index, {_sql_rstrip("array_to_string(lines[1 : least(len(lines), 7)], chr(10))")} || chr(10) AS code FROM m""")
 def line_windows(spark, sf_dir):

@@ -44,7 +44,7 @@ def result(df):
     return {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in R.remove_repeats(df).collect()}
 
 
-@pytest.mark.parametrize("seed,limit", [(1, 4000), (2, 4000), (3, 3)])
+@pytest.mark.parametrize("seed,limit", [(1, 4000), (2, 4000), (3, 3), (4, 1)])
 def test_against_windows(spark, monkeypatch, seed, limit):
     monkeypatch.setattr(R, "GROUP_SPANS", limit)
     rows = corpus(seed)
@@ -67,6 +67,32 @@ def test_maximal_repeats():
     assert not any(s == b"bc" for s, _ in found)
 
 
+def test_hot_passage(spark, monkeypatch):
+    """A passage in most documents, its ends in ever other surroundings, in groups far over the limit."""
+    monkeypatch.setattr(R, "GROUP_SPANS", 20)
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefgh ", k=230))
+    rows = [(doc, "".join(rng.choices("abcd ", k=rng.randint(0, 150))) + passage + "".join(rng.choices("abcd ", k=rng.randint(0, 150)))) for doc in range(400)]
+    rows += [(400 + k, rows[k % 7][1]) for k in range(100)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)) == brute(rows)
+
+
+def test_namesakes(spark):
+    rng = random.Random(12)
+    a, b = ("".join(rng.choices("abcdefg ", k=300)) for _ in range(2))
+    rows = [(1, a), (2, a), (2, b), (3, b + "x")]
+    out = sorted((r.id, r.n_bytes, r.n_removed, r.kept_text) for r in R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect())
+    assert out == sorted([(1, 300, 0, a), (2, 300, 300, ""), (2, 300, 0, b), (3, 301, 300, "x")])
+
+
+def test_copies_pass_the_tree(monkeypatch):
+    """What copies lose comes from the maximal repeats of a group."""
+    text = bytes(range(120))
+    assert list(R.maximal_repeats([text], 100, [True])) == [(120, [(0, 0)])]
+    marks = list(R.group_marks([(0, 0, 5, 10, 3, text, 77)]))
+    assert marks == [(77, 3, None, None, R.packed_part(text))]
+
+
 def test_cases(spark):
     long = "".join(random.Random(4).choices("abcdefg ", k=500))
     rows = [(1, long), (2, None), (3, "é" * 40), (4, long), (4, long), (None, long), (5, long.upper())]

@@ -24,9 +24,10 @@ def theirs():
 
 def ids(text: str) -> list[int]:
     coder = byte_bpe.coder(PATH, public_tokenizers.PATTERN)
-    codes = coder.codes(text)
-    assert coder.decoded(codes) == text.encode()
-    return [int(i) for code in codes for i in code.split()]
+    decimal, found = coder.encode(text)
+    assert coder.bpe.decode(found) == text.encode()
+    assert [int(i) for i in decimal.split()] == found
+    return found
 
 
 HARD = ["", "a", "a" * 1000, "abc" * 777, "ab" * 5000, " " * 300, "\n \n" * 50, "é" * 500, "日本語" * 100, "=-" * 333, "x\x1cy\x85z", "<|endoftext|>", "0123456789" * 40, "a\n \nb", " a  b   c \n d", "\n  x", "a \t b ", " ", "  ", "\n ", "it's 's  'll"]
@@ -47,12 +48,24 @@ def test_any(theirs, a, b):
 def test_join_is_the_whole():
     bpe = byte_bpe.TreeBpe.from_file(PATH)
     word = b"antidisestablishmentarianism" * 9
-    whole = bpe.merged_long([bpe.single[b] for b in word])
+    whole = bpe.merged(word)
     assert bpe.decode(whole) == word
     for k in range(1, len(word), 17):
         assert bpe.join(bpe.encode_word(word[:k]), bpe.encode_word(word[k:])) == whole
 
 
+def test_ordinary_words_are_joined_up_the_tree(monkeypatch):
+    """Words that are no token themselves come from joins of halves, some of which widen their window."""
+    bpe = byte_bpe.TreeBpe.from_file(PATH)
+    joins, windows = [], []
+    join, merged = bpe.join, bpe.merged
+    monkeypatch.setattr(bpe, "join", lambda a, b: joins.append(1) or join(a, b))
+    monkeypatch.setattr(bpe, "merged", lambda data: windows.append(len(data)) or merged(data))
+    for word in (b" erthblely", b" thndathe", b" anreed", b" unbelievablyness"):
+        assert bpe.encode_word(word) == merged(word)
+    assert len(joins) >= 30 and len(windows) > 10
+
+
 def test_rows(spark, theirs):
     rows = spark.createDataFrame([(1, "ab cd", "x"), (1, "ab cd", "x"), (2, None, None), (None, "", "y")], "doc_id long, text string, n_tokens string")
     out = byte_bpe.encode_texts(rows, PATH, public_tokenizers.PATTERN, with_ids=True).collect()

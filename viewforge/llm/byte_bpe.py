@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
 A text is cut by the pre-tokenisation pattern; each match is a word over bytes. A
-word is encoded by a tree: halves are encoded, then neighbours are joined. A join
-re-encodes a window around the seam and widens it until it is stable. Stable means
-that each pair of adjacent tokens at the window's rims, encoded alone, gives back
-the same two tokens. A token sequence of which every adjacent pair is so is the one
-encoding of its bytes, so the tokens outside the window cannot change any more.
-Split points are powers of two, so that repetitive words leave remainders only at
-their ends. Decoding concatenates bytes up the same tree: tokens to words to text.
+word is encoded by a tree from its single bytes up: halves are encoded, then
+neighbours are joined. A join re-encodes a window around the seam and widens it until
+it is stable. Stable means that each pair of adjacent tokens at the window's rims,
+encoded alone, gives back the same two tokens. A token sequence of which every adjacent
+pair is so is the one encoding of its bytes, so the tokens outside the window cannot
+change any more. Split points are powers of two, so that repetitive words leave
+remainders only at their ends. Decoding concatenates bytes up a tree over the ids.
 
-Words recur, so each Python worker keeps a bounded table from word to its encoding.
+Words recur, and so do their parts, so each Python worker keeps bounded tables of what
+it has reduced.
 
 Defined results: null text counts as empty; an empty text has no tokens and both
 digests are those of the empty string; identifiers are passed through as they are,
@@ -21,7 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import public_tokenizers
 import pyarrow as pa
@@ -34,9 +35,10 @@ from viewforge.sources.tables import table
 
 QUERY = "op7_byte_bpe"
 
-LEAF_BYTES = 32
-HEAP_BYTES = 96
-KEPT_WORDS = 600_000
+#: Entries of each of a worker's tables at most; a full table is begun anew.
+KEPT_WORDS = 400_000
+#: Tokens whose bytes are put together at a leaf of the decoding tree.
+DECODED = 64
 
 
 class TreeBpe:
@@ -54,30 +56,16 @@ class TreeBpe:
         cuts = ((ranks.get(token[:k]), ranks.get(token[k:]), rank) for token, rank in ranks.items() for k in range(1, len(token)))
         self.pairs = {a * self.none + b: rank for a, b, rank in cuts if a is not None and b is not None}
         self._known: dict[int, bool] = {}
+        self._parts: dict[bytes, list[int]] = {}
 
     @classmethod
     def from_file(cls, path: str) -> TreeBpe:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """Merges the leftmost pair of lowest rank until no pair has one."""
-        if len(ids) > HEAP_BYTES:
-            return self.merged_long(ids)
-        none, get = self.none, self.pairs.get
-        ranks = [get(a * none + b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != none:
-            i = ranks.index(best)
-            ids[i : i + 2] = [best]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(best * none + ids[i + 1], none)
-            if i:
-                ranks[i - 1] = get(ids[i - 1] * none + best, none)
-        return ids
-
-    def merged_long(self, ids: list[int]) -> list[int]:
-        """The same by a heap of pairs over a linked list."""
+    def merged(self, data: bytes) -> list[int]:
+        """Merges the leftmost pair of lowest rank until no pair has one, by a heap of pairs over a linked list."""
+        ids = [self.single[b] for b in data]
         none, get, n = self.none, self.pairs.get, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (rank := get(a * none + b)) is not None]
@@ -97,11 +85,6 @@ class TreeBpe:
                 heapq.heappush(heap, (new, h, ids[h], rank))
         return [x for x in ids if x >= 0]
 
-    def leaf(self, data: bytes) -> list[int]:
-        """The ids of a short run of bytes."""
-        whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.merged([self.single[b] for b in data])
-
     def stable(self, left: int, right: int) -> bool:
         """Whether two neighbours, encoded alone, stay what they are."""
         key = left * self.none + right
@@ -109,7 +92,7 @@ class TreeBpe:
         if known is None:
             if len(self._known) >= KEPT_WORDS:
                 self._known.clear()
-            known = self._known[key] = self.leaf(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self._known[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -118,73 +101,73 @@ class TreeBpe:
             return left + right
         a = b = 1
         while True:
-            window = self.leaf(self.decode(left[-a:]) + self.decode(right[:b]))
+            window = self.merged(self.decode(left[-a:]) + self.decode(right[:b]))
             left_ok = a >= len(left) or self.stable(left[-a - 1], window[0])
             right_ok = b >= len(right) or self.stable(window[-1], right[b])
             if left_ok and right_ok:
                 return left[: max(0, len(left) - a)] + window + right[b:]
             a, b = (a if left_ok else 2 * a), (b if right_ok else 2 * b)
 
+    def reduced(self, part: bytes) -> list[int]:
+        """The tree over a part of a word: its halves, encoded and joined; a single byte is a leaf."""
+        if len(part) == 1:
+            return [self.single[part[0]]]
+        found = self._parts.get(part)
+        if found is None:
+            half = 1 << ((len(part) - 1).bit_length() - 1)
+            found = self.join(self.reduced(part[:half]), self.reduced(part[half:]))
+            if len(part) <= DECODED:
+                if len(self._parts) >= KEPT_WORDS:
+                    self._parts.clear()
+                self._parts[part] = found
+        return found
+
     def encode_word(self, word: bytes) -> list[int]:
-        if len(word) <= LEAF_BYTES:
-            return self.leaf(word) if word else []
-        if word in self.ranks:
-            return [self.ranks[word]]
-        half = 1 << ((len(word) - 1).bit_length() - 1)
-        return self.join(self.encode_word(word[:half]), self.encode_word(word[half:]))
+        """The ids of a word; one that is itself a token is that token, whatever its merges."""
+        if not word:
+            return []
+        whole = self.ranks.get(word)
+        return self.reduced(word) if whole is None else [whole]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: Sequence[int]) -> bytes:
+        """The bytes of ids, concatenated up a tree of halves."""
+        if len(ids) <= DECODED:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 class TextCoder:
-    """Whole texts to decimal ids and back, with a bounded table of words and chunks.
+    """Whole texts to ids and back, with a bounded table of chunks.
 
     A text is first cut before each single space; such a chunk has the same words in it
     as it has in the text, as a space goes with what follows it. Only where a space
-    stands between white space is that not so; texts with one are cut into words whole.
+    stands between white space is that not so; texts with one are one chunk.
     """
 
     def __init__(self, bpe: TreeBpe, pattern: str):
         self.bpe, self.words = bpe, regex.compile(pattern).findall
         self.inside = regex.compile(r"\s \s").search
-        self._codes: dict[str, bytes] = {}
-        self._bytes: dict[bytes, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        code = self._codes.get(word)
-        if code is None:
-            ids = self.bpe.encode_word(word.encode())
-            code = self._codes[word] = b" ".join([b"%d" % i for i in ids])
-            self._bytes[code] = self.bpe.decode(ids)
-        return code
-
-    def _chunk(self, chunk: str) -> bytes:
-        words = list(map(self._word, self.words(chunk)))
-        code = self._codes[chunk] = b" ".join(words)
-        self._bytes[code] = b"".join(map(self._bytes.__getitem__, words))
-        return code
-
-    def codes(self, text: str) -> list[bytes]:
-        """The decimal ids of each chunk or word."""
-        if len(self._codes) > KEPT_WORDS:
-            self._codes.clear()
-            self._bytes.clear()
-        if self.inside(text):
-            return list(map(self._word, self.words(text)))
-        first, *others = text.split(" ")
-        chunks = [*[first] * bool(first), *[" " + part for part in others]]
-        found = list(map(self._codes.get, chunks))
-        if None in found:
-            found = [code if code is not None else self._codes.get(chunk) or self._chunk(chunk) for chunk, code in zip(chunks, found, strict=True)]
+        self._chunks: dict[str, tuple[bytes, list[int]]] = {}
+
+    def _encode(self, chunk: str) -> tuple[bytes, list[int]]:
+        ids = [i for word in self.words(chunk) for i in self.bpe.encode_word(word.encode())]
+        return b" ".join([b"%d" % i for i in ids]), ids
+
+    def _keep(self, chunk: str) -> tuple[bytes, list[int]]:
+        found = self._chunks[chunk] = self._encode(chunk)
         return found
 
-    def decoded(self, codes: list[bytes]) -> bytes:
-        """The bytes of ids: those of chunks, which are those of their words, one after the other."""
-        parts = list(map(self._bytes.get, codes))
-        if None in parts:
-            parts = [part if part is not None else self.bpe.decode(list(map(int, code.split()))) for code, part in zip(codes, parts, strict=True)]
-        return b"".join(parts)
+    def encode(self, text: str) -> tuple[bytes, list[int]]:
+        """The ids as decimal numbers with a space between, and as numbers."""
+        if len(self._chunks) > KEPT_WORDS:
+            self._chunks.clear()
+        if self.inside(text):
+            return self._encode(text)
+        first, *others = text.split(" ")
+        get = self._chunks.get
+        found = [get(chunk) or self._keep(chunk) for chunk in [*[first] * bool(first), *[" " + part for part in others]]]
+        return b" ".join([code for code, _ in found]), [i for _, ids in found for i in ids]
 
 
 _CODERS: dict[tuple[str, str], TextCoder] = {}
@@ -203,13 +186,12 @@ def _mapper(path: str, pattern: str, with_ids: bool):
         for batch in small(batches):
             counts, ids, id_sums, byte_sums = [], [], [], []
             for text in batch.column(1).to_pylist():
-                codes = own.codes(text or "")
-                joined = b" ".join(codes)
-                counts.append(joined.count(b" ") + 1 if joined else 0)
-                id_sums.append(hashlib.sha256(joined).hexdigest())
-                byte_sums.append(hashlib.sha256(own.decoded(codes)).hexdigest())
+                decimal, found = own.encode(text or "")
+                counts.append(len(found))
+                id_sums.append(hashlib.sha256(decimal).hexdigest())
+                byte_sums.append(hashlib.sha256(own.bpe.decode(found)).hexdigest())
                 if with_ids:
-                    ids.append(list(map(int, joined.split())))
+                    ids.append(found)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(byte_sums, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

@@ -54,13 +54,34 @@ def test_rounds(spark, group_items):
     rng = np.random.default_rng(1)
     sizes = [*rng.integers(1, 900, 500).tolist(), *[1000] * 10, *[501] * 40]
     pieces = spark.createDataFrame([(k, 0, int(s)) for k, s in enumerate(sizes)], "id long, piece int, length long")
-    rows = K.pack(pieces, capacity=1000, slack=2, group_items=group_items).collect()
+    rows = K.pack(pieces, capacity=1000, group_items=group_items).collect()
     assert sorted(r.id for r in rows) == list(range(len(sizes)))
     alone = len(K.best_fit(np.sort(sizes)[::-1], 1000)[2])
     # groups of a few items can't fill bins as well as one group of all
     assert check(rows, 1000) <= {7: 1.2, 100: 1.03}.get(group_items, 1.0) * alone
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_two_sequences_fit_together(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = [*rng.integers(500, 900, 400).tolist(), *rng.integers(1, 500, 60).tolist()]
+    pieces = spark.createDataFrame([(k, 0, int(s)) for k, s in enumerate(sizes)], "id long, piece int, length long").repartition(6)
+    rows = K.pack(pieces, capacity=1000, group_items=12).collect()
+    check(rows, 1000)
+    fills = {}
+    for r in rows:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    least = sorted(fills.values())[:2]
+    assert sum(fills.values()) == sum(sizes) and sum(least) > 1000
+
+
+def test_rows_without_identifier_spread(spark):
+    pieces = spark.range(4000).selectExpr("cast(null as long) AS id", "0 AS piece", "cast(1 + id % 9 as long) AS length").repartition(3)
+    dealt, groups = K._dealt(pieces, 4000, 500)
+    sizes = [r["count"] for r in dealt.groupBy("grp").count().collect()]
+    assert len(sizes) == groups == 8 and max(sizes) < 650
+
+
 def test_unpackable_groups_end(spark):
     pieces = spark.range(200).selectExpr("id", "0 AS piece", "600L AS length")
     assert check(K.pack(pieces, capacity=1000, group_items=20).collect(), 1000) == 200

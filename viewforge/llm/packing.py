@@ -2,11 +2,17 @@
 
 Every text becomes token ids and one closing id; only what exceeds the capacity is
 cut. Pieces are dealt evenly into groups of bounded size. Each group packs its
-pieces by best fit, largest first, and bins that are full or nearly full are done.
-The underfull bins go up a tree as items: neighbouring groups come together, again
-bounded in size, and best fit runs over whole bins, until one group is left or a
-round merges nothing. A bin's place in its parent is kept as one small row, so a
-piece's sequence and offset are found by following at most one row a level.
+pieces by best fit, largest first. After it a group has at most one bin that is no more
+than half full. Underfull bins go up a tree as items: those up to half full, and as many
+of the emptiest others, come together in bounded groups, and best fit runs over whole
+bins, until one group is left or the two emptiest bins don't fit together. Nothing is
+lost by leaving the fuller bins out: two bins that fit together have one of at most half
+among them, each of these takes at most one of the others, and what doesn't fit into the
+emptiest bin left over fits into no fuller one. So at the root no two sequences fit
+together. A bin's place in its parent is kept as one small row, so a piece's sequence
+and offset are found by following at most one row a level.
+
+Groups are dealt by row, not by identifier, so repeated and null ones spread evenly.
 
 Defined results: null text counts as empty; an empty text is one piece with the
 closing id alone; repeated rows are packed once each (their doc_id and piece repeat);
@@ -39,8 +45,6 @@ from viewforge.sources.tables import table
 QUERY = "op1_best_fit_packing"
 
 CAPACITY = 4096
-#: A bin with no more free places than this is done.
-SLACK = 8
 #: Items that one task packs at most.
 GROUP_ITEMS = 50_000
 KEPT_WORDS = 500_000
@@ -179,28 +183,47 @@ def _pack_level(items: DataFrame, level: int, capacity: int) -> DataFrame:
     return materialise(items.groupBy("grp").applyInPandas(_group_packer(level, capacity), schema).drop("grp"), f"packing-{level}")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, group_items: int = GROUP_ITEMS) -> DataFrame:
+def _dealt(rows: DataFrame, n: int, group_items: int) -> tuple[DataFrame, int]:
+    """rows with grp, their group of about group_items, by row; and the number of groups."""
+    groups = max(1, math.ceil(n / group_items))
+    return rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))), groups
+
+
+def _underfull(bins: DataFrame, capacity: int) -> DataFrame | None:
+    """Bins (bin, fill) that may still come together, or None if no two can."""
+    counts = sorted(bins.groupBy("fill").count().toPandas().itertuples(index=False))  # a row a fill
+    fills = [fill for fill, count in counts for _ in range(min(count, 2))][:2]
+    if len(fills) < 2 or sum(fills) > capacity:
+        return None
+    small = sum(count for fill, count in counts if 2 * fill <= capacity)
+    left, last = small, capacity // 2
+    for fill, count in counts:
+        if 2 * fill > capacity and fill + fills[0] <= capacity and left > 0:
+            left, last = left - count, fill
+    chosen = bins.filter(F.col("fill") <= last if left >= 0 else F.col("fill") < last)
+    if left < 0:  # of the last fill no more than are needed
+        of_last = next(count for fill, count in counts if fill == last)
+        chosen = chosen.unionByName(bins.filter(F.col("fill") == last).limit(of_last + left))
+    return chosen
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """pieces (id, piece, length and any further columns) with sequence_id and offset."""
     pieces = materialise(pieces, "packing-pieces")
-    groups = max(1, math.ceil(pieces.count() / group_items))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
+    dealt, groups = _dealt(pieces, pieces.count(), group_items)
     packed = _pack_level(dealt, 0, capacity).withColumnRenamed("bin", "sequence_id")
-    latest, level, result = packed.select(F.col("sequence_id").alias("bin"), "fill"), 0, packed.drop("fill")
-    steps = []
+    bins = packed.filter("offset = 0").select(F.col("sequence_id").alias("bin"), "fill")  # a row a bin
+    result, level, steps = packed.drop("fill"), 0, []
     while groups > 1:
         level += 1
-        open_bins = materialise(latest.filter(F.col("fill") < capacity - slack).distinct(), f"packing-open-{level}")
-        left = open_bins.count()
-        fewer = max(1, math.ceil(left / group_items))
-        index = F.shiftright(F.col("bin").bitwiseAND((1 << LEVEL_BITS) - 1), GROUP_BITS)
-        siblings = F.floor(index * fewer / groups) if fewer < groups else F.pmod(F.xxhash64("bin"), F.lit(fewer))
-        items = open_bins.select(F.col("bin").alias("id"), F.lit(0).alias("piece"), F.col("fill").alias("length"), siblings.cast("long").alias("grp"))
+        bins = materialise(bins, f"packing-bins-{level}")
+        if (chosen := _underfull(bins, capacity)) is None:
+            break
+        chosen = materialise(chosen, f"packing-open-{level}")
+        items, groups = _dealt(chosen.select(F.col("bin").alias("id"), F.lit(0).alias("piece"), F.col("fill").alias("length")), chosen.count(), group_items)
         merged = _pack_level(items, level, capacity)
         steps.append(merged.select(F.col("id").alias("sequence_id"), F.col("bin").alias("parent"), F.col("offset").alias("shift")))
-        latest = merged.select("bin", "fill")
-        if fewer > 1 and latest.select("bin").distinct().count() > 0.99 * left:
-            break  # what is left doesn't fit together
-        groups = fewer
+        bins = merged.filter("offset = 0").select("bin", "fill")
     for step in steps:
         result = result.join(step, "sequence_id", "left").select(
             *[c for c in result.columns if c not in ("sequence_id", "offset")],

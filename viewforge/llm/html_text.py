@@ -1,19 +1,27 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into text blocks, each with the path of elements above it. A
-classifier gives every block the cost of either label: what the elements above it are
-called and how they are marked, its length, its share of link text, its punctuation.
-These costs are the capacities from the content terminal and to the boilerplate
-terminal. Blocks that follow each other, and neighbours in one container, are tied by
-edges that weigh more the nearer they are in the element tree. The cheapest labelling
-is a minimum cut. A block whose own costs outweigh all its ties has its label in
-every minimum cut, so it is fixed first and its ties move into its neighbours' costs;
-maximum flow settles what is left.
+A page is read into text blocks below a tree of elements. The blocks, and the elements
+whose name or marks say something, are the nodes of a graph. A classifier gives each the
+cost of either label: a block by its length, its share of link text, its punctuation and
+whether it is a heading; an element by its tag and by the words of its class, id and role, which weigh
+less where they only qualify another word, and nothing in names of states. An element
+counts once for each block below it. These costs are the capacities from the content
+terminal and to the boilerplate terminal.
+
+Arcs carry the smoothness. Blocks that follow each other, and neighbours in one
+container, are tied the more the nearer they are in the element tree. Each node is tied
+to the nearest element of the graph above it, more strongly against content within
+boilerplate than against boilerplate within content. Maximum flow over the whole graph
+gives the cheapest labelling, and its content blocks are the text.
+
+No element decides by itself: one that frames the page, as it holds nearly all of the
+text with the heading, article or main element in it, or is a form around all of a
+page without these, loses its weight.
 
 Defined results: null or empty html, and a page without content, give the empty text;
 unclosed or stray tags, unfinished comments, quotes and character references are read
-as browsers do; repeated rows give equal results; url is passed through; further
-columns are ignored.
+as browsers do; elements may be nested to any depth; repeated rows give equal results;
+url is passed through; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,52 +50,105 @@ _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NO_TEXT = frozenset("head script style noscript template svg canvas object audio video map form select button textarea input option datalist fieldset dialog iframe math title".split())
+NO_TEXT = frozenset("head script style noscript template svg canvas object audio video map select button textarea input option datalist dialog iframe math title".split())
 OUTER = frozenset("nav footer aside menu".split())
 INNER = frozenset("article main".split())
-#: Words in class, id or role that mark boilerplate; HEADS only outside an article.
+FORMS = frozenset("form fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of class, id or role: those of boilerplate, those that may be, those of a page's head, and those of content.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar sidebar aside footer breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies widget widgets pagination pager toolbar copyright legal disclaimer contentinfo complementary search skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation menu menubar sidebar aside footer breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies pagination pager".split()
 )
+MAYBE = frozenset("banner widget widgets toolbar copyright legal disclaimer contentinfo complementary search skip notification promotion".split())
 HEADS = frozenset("header masthead topbar".split())
+CONTENT = frozenset("article content post entry story main".split())
+#: Words beside a mark that make it a state of the page.
+BEFORE, AFTER = frozenset("has with without no not hide".split()), frozenset("open closed enabled disabled on off".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _LISTS = frozenset("ul ol dl table select body article section div".split())
 
-BIAS, STRUCTURE, NEAR, SAME_CONTAINER, TEXT = 0.4, 8.0, 3.0, 0.5, 0.02
+#: Costs of blocks; of elements, a block; of arcs. All are of one size, so that none decides alone.
+BIAS, SHORT, LINKED, TEXT, STOPS, HEADING = 0.4, 1.0, 3.0, 0.02, 0.3, 0.5
+MARKED, PERHAPS, QUALIFIER, ARTICLE, NAMED = 12.0, 6.0, 0.6, 6.0, 2.0
+NEAR, INTRODUCED, SAME_CONTAINER, ABOVE, BELOW, OWNED = 3.0, 1.5, 0.5, 12.0, 1.5, 12.0
+#: Shares of a page's text from which an element frames it, and at which it does so wholly.
+FRAMES, WHOLLY = 0.6, 0.9
+#: Steps in the tree beyond which blocks count as this far apart.
+FARTHEST = 64
+
+
+class Element:
+    """An element with the elements above it as a linked list."""
+
+    __slots__ = ("name", "up", "depth", "inner", "silent", "linked", "mark", "good", "chars", "frame", "blocks", "node")
+
+    def __init__(self, name: str, up: Element | None):
+        self.name, self.up = name, up
+        self.depth = up.depth + 1 if up else 0
+        self.inner, self.silent, self.linked = (up.inner, up.silent, up.linked) if up else (False, False, False)
+        self.mark = self.good = 0.0  # costs of content and of boilerplate
+        self.chars = self.blocks = 0  # below it, outside of navigation and the like; all below it
+        self.frame = False  # whether an h1, article or main element is below it, outside of marked elements
+        self.node = -1
 
 
 class Block:
-    """A run of text with the elements above it."""
+    """A run of text and the element that holds it."""
 
-    __slots__ = ("path", "text", "links", "inner", "outer", "head")
+    __slots__ = ("holder", "text", "links")
 
-    def __init__(self, path, text, links, inner, outer, head):
-        self.path, self.text, self.links, self.inner, self.outer, self.head = path, text, links, inner, outer, head
+    def __init__(self, holder: Element, text: str, links: int):
+        self.holder, self.text, self.links = holder, text, links
 
 
-def _marked(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element's marks say boilerplate, and whether they say page head."""
-    boiler = head = False
-    if attributes and name not in ("html", "body"):
+def mark_of(value: str, inner: bool) -> tuple[float, float]:
+    """Costs that the words of a class, id or role put on content and on boilerplate."""
+    mark = good = 0.0
+    for token in value.split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        for k, word in enumerate(words):
+            weight = MARKED if word in MARKS or word in HEADS and not inner else PERHAPS if word in MAYBE else 0.0
+            last = k == len(words) - 1
+            if weight and not BEFORE.isdisjoint(words[:k]) or not last and words[k + 1] in AFTER:
+                continue
+            mark = max(mark, weight if last else QUALIFIER * weight)
+            if last and word in CONTENT:
+                good = NAMED
+    return mark, good
+
+
+def weigh(element: Element, attributes: str) -> None:
+    """Sets an element's own costs."""
+    name = element.name
+    if attributes:
         for key, *values in _MARK.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                boiler = True
+                element.mark = MARKED
             elif key in ("class", "id", "role"):
-                words = {w.lower() for w in _WORD.findall(value)}
-                boiler |= not words.isdisjoint(MARKS)
-                head |= not words.isdisjoint(HEADS) or key == "role" and value.lower() == "banner"
-    return boiler, head
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order; elements that never hold text are left out."""
+                mark, good = mark_of(value, element.inner)
+                if key == "role" and value.lower() == "banner" and not element.inner:
+                    mark = MARKED
+                element.mark, element.good = max(element.mark, mark), max(element.good, ARTICLE if key == "role" and value.lower() in INNER else good)
+    if name in OUTER or name in FORMS or name == "header" and not element.inner:
+        element.mark = MARKED
+    elif name in INNER:
+        element.good = ARTICLE
+    if element.mark >= MARKED:
+        element.good = 0.0
+    element.frame = name == "h1" or element.good >= ARTICLE > element.mark
+    element.inner |= name in INNER
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's text blocks and its elements, in order; elements that never hold text are left out."""
     blocks: list[Block] = []
-    # an open element: name, its number, in an article, in boilerplate, in a page head, without text, in a link
-    stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = [("", 0, False, False, False, False, False)]
+    root = Element("", None)
+    elements, stack = [root], [root]
+    open_names: dict[str, int] = {}
     text: list[str] = []
-    links = number = 0
+    links = 0
 
     def end_block() -> None:
         nonlocal links
@@ -97,31 +158,43 @@ def blocks_of(page: str) -> list[Block]:
                 words = html.unescape(words)
             words = " ".join(words.split())
             if words:
-                top = stack[-1]
-                blocks.append(Block([e[1] for e in stack if e[0] not in INLINE], words, links, top[2], top[3], top[4]))
+                holder = stack[-1]
+                while holder.name in INLINE:
+                    holder = holder.up
+                holder.chars += len(words)
+                holder.blocks += 1
+                blocks.append(Block(holder, words, links))
             text.clear()
         links = 0
 
     def close(to: int) -> None:
-        if any(e[0] not in INLINE for e in stack[to:]):
+        if any(e.name not in INLINE for e in stack[to:]):
             end_block()
-        del stack[to:]
+        while len(stack) > to:
+            done = stack.pop()
+            open_names[done.name] -= 1
+            up = done.up
+            up.blocks += done.blocks
+            up.frame |= done.frame and done.mark < MARKED
+            if done.name not in OUTER:
+                up.chars += done.chars
 
     def last(names, until=frozenset()) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                return k
-            if stack[k][0] in until:
-                break
+        if any(open_names.get(name) for name in names):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name in names:
+                    return k
+                if stack[k].name in until:
+                    break
         return 0
 
     at, size = 0, len(page)
     while at < size:
         found = _TAG.search(page, at)
         start = found.start() if found else size
-        if start > at and not stack[-1][5]:
+        if start > at and not stack[-1].silent:
             text.append(page[at:start])
-            if stack[-1][6]:
+            if stack[-1].linked:
                 links += start - at
         if not found:
             break
@@ -137,7 +210,7 @@ def blocks_of(page: str) -> list[Block]:
             name = opening.lower()
             if name not in INLINE:
                 if name == "br":
-                    if not stack[-1][5]:
+                    if not stack[-1].silent:
                         text.append(" ")
                     continue
                 end_block()
@@ -145,84 +218,89 @@ def blocks_of(page: str) -> list[Block]:
                 close(k)
             elif name in _SAME_CLOSES and (k := last(_SAME_CLOSES[name], _LISTS)):
                 close(k)
-            if name in VOID or attributes.endswith("/") and stack[-1][0] in ("svg", "math"):
+            if name in VOID or attributes.endswith("/") and stack[-1].name in ("svg", "math"):
                 continue
-            up = stack[-1]
-            boiler, head = _marked(name, attributes)
-            number += 1
-            inner = up[2] or name in INNER
-            head = (head or name == "header") and not inner
-            stack.append((name, number, inner, up[3] or boiler or name in OUTER, up[4] or head, up[5] or name in NO_TEXT, up[6] or name == "a"))
+            element = Element(name, stack[-1])
+            weigh(element, attributes)
+            element.silent |= name in NO_TEXT
+            element.linked |= name == "a"
+            open_names[name] = open_names.get(name, 0) + 1
+            stack.append(element)
+            elements.append(element)
             if name in RAW:
                 end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
                 at = end.start() if end else size
         # comments, doctypes and instructions are passed over
+    close(1)
     end_block()
-    return blocks
+    return blocks, elements
 
 
 def costs(block: Block) -> tuple[float, float]:
     """Cost of calling a block boilerplate, and of calling it content."""
     n = len(block.text)
     linked = min(1.0, block.links / n)
-    content = TEXT * min(n, 150) * (1 - linked) + 0.3 * min(4, block.text.count(".") + block.text.count(","))
-    boiler = BIAS + 3.0 * linked + (1.0 if n < 25 else 0.0)
-    if block.outer or block.head:
-        boiler += 3 * STRUCTURE
-    elif block.inner:
-        content += STRUCTURE
-    return content, boiler
-
-
-def _nearness(a: Block, b: Block) -> float:
-    shared = sum(x == y for x, y in zip(a.path, b.path, strict=False))
-    return NEAR / (1 + len(a.path) + len(b.path) - 2 * shared)
-
-
-def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between following blocks and between neighbours of one container."""
-    found = [(k, k + 1, _nearness(blocks[k], blocks[k + 1])) for k in range(len(blocks) - 1)]
-    latest: dict[int, int] = {}
+    heading = block.holder.name in HEADINGS
+    content = TEXT * min(n, 150) * (1 - linked) + STOPS * min(4, block.text.count(".") + block.text.count(",")) + HEADING * heading
+    return content, BIAS + LINKED * linked + (SHORT if n < 25 and not heading else 0.0)
+
+
+def element_costs(element: Element, page: Element) -> tuple[float, float]:
+    """The same for an element, a block below it."""
+    share = element.chars / page.chars if page.chars else 0.0
+    framing = element.frame or element.name in ("html", "body") or element.name in FORMS and not page.frame
+    if element.mark and framing and element.name not in OUTER and share > FRAMES:
+        return element.good, element.mark * max(0.0, (WHOLLY - share) / (WHOLLY - FRAMES))
+    return element.good, element.mark
+
+
+def _nearness(a: Element, b: Element) -> float:
+    steps = 0
+    while a is not b and steps < FARTHEST:
+        if a.depth >= b.depth:
+            a, b = a.up, b
+        else:
+            b = b.up
+        steps += 1
+    return min(NEAR, (NEAR / (1 + steps)) ** 2)
+
+
+def graph_of(blocks: list[Block], elements: list[Element]) -> tuple[list[float], list[float], list[tuple[int, int, float, float]]]:
+    """Costs of boilerplate and of content of each node, blocks first, and the arcs: ends, and cost of either alone as content."""
+    content, boiler, arcs = [], [], []
+    for block in blocks:
+        a, b = costs(block)
+        content.append(a)
+        boiler.append(b)
+    for element in elements:
+        above = element.up.node if element.up else -1
+        element.node = above
+        if element.blocks and (element.mark or element.good):
+            good, mark = element_costs(element, elements[0])
+            if good or mark:
+                element.node = len(content)
+                content.append(good * element.blocks)
+                boiler.append(mark * element.blocks)
+                if above >= 0:
+                    arcs.append((element.node, above, ABOVE * element.blocks, BELOW * element.blocks))
+    latest: dict[Element | None, int] = {}
     for k, block in enumerate(blocks):
-        container = block.path[-2] if len(block.path) > 1 else 0
+        if block.holder.node >= 0:
+            arcs.append((k, block.holder.node, OWNED, OWNED))
+        if k:
+            w = _nearness(blocks[k - 1].holder, block.holder) * (INTRODUCED if blocks[k - 1].holder.name in HEADINGS else 1)
+            arcs.append((k - 1, k, w, w))
+        container = block.holder.up
         if latest.get(container, k - 1) < k - 1:
-            found.append((latest[container], k, SAME_CONTAINER * _nearness(blocks[latest[container]], block)))
+            w = SAME_CONTAINER * _nearness(blocks[latest[container]].holder, block.holder)
+            arcs.append((latest[container], k, w, w))
         latest[container] = k
-    return found
+    return content, boiler, arcs
 
 
-def minimum_cut(content: list[float], boiler: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """For each node whether it is on the content side of a minimum cut."""
+def minimum_cut(content: list[float], boiler: list[float], arcs: list[tuple[int, int, float, float]]) -> list[bool]:
+    """For each node whether it is on the content side of a minimum cut: Dinic's maximum flow, then what the source still reaches."""
     n = len(content)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in edges:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    lean = [c - b for c, b in zip(content, boiler, strict=True)]
-    tied = [sum(x.values()) for x in near]
-    side: list[bool | None] = [None] * n
-    queue = deque(range(n))
-    while queue:
-        k = queue.popleft()
-        if side[k] is None and abs(lean[k]) >= tied[k]:
-            side[k] = lean[k] > 0 or lean[k] == 0 and content[k] > boiler[k]
-            for j, w in near[k].items():
-                if side[j] is None:
-                    lean[j] += w if side[k] else -w
-                    tied[j] -= w
-                    queue.append(j)
-    rest = [k for k in range(n) if side[k] is None]
-    if rest:
-        place = {k: i for i, k in enumerate(rest)}
-        pairs = [(place[k], place[j], w) for k in rest for j, w in near[k].items() if j in place and k < j]
-        for k, inside in zip(rest, _flow_side([lean[k] for k in rest], pairs), strict=True):
-            side[k] = inside
-    return side  # type: ignore[return-value]
-
-
-def _flow_side(lean: list[float], pairs: list[tuple[int, int, float]]) -> list[bool]:
-    """Dinic's maximum flow; the nodes that the source still reaches."""
-    n = len(lean)
     source, sink = n, n + 1
     heads: list[list[int]] = [[] for _ in range(n + 2)]
     to: list[int] = []
@@ -236,10 +314,10 @@ def _flow_side(lean: list[float], pairs: list[tuple[int, int, float]]) -> list[b
         to.append(a)
         room.append(round(back * 1_000_000))
 
-    for k, x in enumerate(lean):
-        arc(source, k, max(0.0, x), 0.0) if x > 0 else arc(k, sink, -x, 0.0)
-    for a, b, w in pairs:
-        arc(a, b, w, w)
+    for k, (c, b) in enumerate(zip(content, boiler, strict=True)):
+        arc(source, k, c - b, 0.0) if c > b else arc(k, sink, b - c, 0.0)
+    for a, b, forth, back in arcs:
+        arc(a, b, forth, back)
     while True:
         depth = [-1] * (n + 2)
         depth[source] = 0
@@ -280,14 +358,19 @@ def _flow_side(lean: list[float], pairs: list[tuple[int, int, float]]) -> list[b
                 tried[a] += 1
 
 
+def labelled(page: str | None) -> list[tuple[str, bool, bool]]:
+    """Text of each block, whether it is content, and whether its own costs alone would say so."""
+    blocks, elements = blocks_of(page or "")
+    if not blocks:
+        return []
+    content, boiler, arcs = graph_of(blocks, elements)
+    side = minimum_cut(content, boiler, arcs)
+    return [(block.text, side[k], content[k] > boiler[k]) for k, block in enumerate(blocks)]
+
+
 def main_text(page: str | None) -> str:
     """The text of the blocks on the content side, joined by one space."""
-    blocks = blocks_of(page or "")
-    if not blocks:
-        return ""
-    both = [costs(b) for b in blocks]
-    side = minimum_cut([c for c, _ in both], [b for _, b in both], ties(blocks))
-    return " ".join(b.text for b, inside in zip(blocks, side, strict=True) if inside)
+    return " ".join(text for text, inside, _ in labelled(page) if inside)
 
 
 def _mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,15 +42,33 @@ def test_cases(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     out = {r.id: (r.n_links, r.component_id, r.kept) for r in V.near_vectors(df).collect()}
     assert len(out) == len(rows)
-    assert out[1] == (2, 1, True) and out[2] == out[11] == (2, 1, False)
+    assert out[1] == (3, 1, True) and out[2] == out[11] == out[None] == (3, 1, False)
     assert out[3] == (1, 3, True) and out[12] == (1, 3, False)
     for k in (4, 5, 6, 7, 8, 9, 10):
         assert out[k] == (0, k, True)
-    assert out[None] == (0, None, True)
     assert V.near_vectors(df.limit(0)).count() == 0
     assert V.near_vectors(df.filter("vec_id in (4, 5)")).count() == 2
 
 
+def test_namesakes_lengths_and_missing_identifiers(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (3, [1.0, 0.01]), (7, [0.0, 0.0, 1.0]), (8, [0.0, 0.01, 1.0]), (9, [0.0, 1.0, 0.0]), (None, [5.0]), (None, [7.0]), (None, [0.0, 1.01, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted(((r.id, r.n_links, r.component_id) for r in V.near_vectors(df).collect()), key=str)
+    want = [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (7, 1, 7), (8, 1, 7), (9, 1, 9), (None, 1, None), (None, 1, None), (None, 1, 9)]
+    assert out == sorted(want, key=str)
+
+
+def test_many_lists_and_one_dense(spark):
+    """A third of all vectors in one dense group of several blocks; recall against brute force."""
+    rng = np.random.default_rng(8)
+    vectors = np.vstack([rng.normal(size=(800, 16)), rng.normal(size=16) + rng.normal(size=(400, 16)) * 0.1])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    out = {r.id: (r.n_links, r.component_id) for r in V.near_vectors(df, block_rows=100).collect()}
+    want = brute(list(range(len(vectors))), vectors)
+    assert sum(n for n, _ in out.values()) >= 0.98 * sum(n for n, _ in want.values())
+    assert sum(out[k][1] == want[k][1] for k in want) >= 0.98 * len(want)
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(200)]
     star = [(1000, 1000 + k) for k in range(1, 300)]

@@ -73,6 +73,14 @@ def test_signatures_lose_no_pair():
             assert len(np.intersect1d(x, y))
 
 
+def test_rows_without_identifier_link(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = [(None, text), (None, text + " one"), (5, text + " two"), (6, "other words than these ones here"), (5, "another text under the same identifier"), (7, "another text under the same identifier")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted((str(r.id), r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect())
+    assert out == [("5", 2, 5), ("5", 197, 5), ("6", 2, 6), ("7", 2, 5), ("None", 196, 5), ("None", 197, 5)]
+
+
 def test_cases(spark):
     long = " ".join(f"w{k}" for k in range(3000))
     rows = [(1, "A b C"), (2, "a B c"), (3, ""), (4, None), (5, " \t\n"), (6, "É x"), (7, "é x"), (8, long), (9, long + " more"), (9, long + " more"), (None, "q r s")]

@@ -18,6 +18,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     repeats go, so the edges shrink by a constant factor a round whatever the shape of
     the graph. Minima are taken by partial aggregation, and edges of a hub meet their
     hub in a join whose large partitions Spark splits. Nothing is collected.
+
+    Edges with a null end, loops and repeated edges are ignored; nodes of no other edge
+    are left out; no edges give no rows.
     """
     left = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "cc-edges")
     steps: list[DataFrame] = []

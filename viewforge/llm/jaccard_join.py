@@ -18,7 +18,8 @@ union; only a spanning forest of them leaves a task.
 
 Defined results: null text and text without words give an empty set, linked with
 nothing; fewer words than a shingle make one shingle; repeated rows share their
-class; null identifiers link like others, but never name a component unless alone;
+class; texts under one identifier, or none, link like others, and a null identifier never
+names a component unless all of its rows have none;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from viewforge.llm.batches import small
 from viewforge.llm.components import connected_components
-from viewforge.llm.exact_dedup import group_rows
+from viewforge.llm.exact_dedup import N_RUNS, group_rows
 from viewforge.plans.scratch import materialise, small_side
 from viewforge.sources.tables import table
 
@@ -165,11 +166,11 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
 
 
 def _set_mapper(words: int):
-    """A row for each text: id, n, set (128-bit digest), cls; and rows of shingles frequent in a batch."""
+    """A row for each text: id, mark, n, set (128-bit digest), cls; and rows of shingles frequent in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+            ids, marks, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()).to_pylist()
             sizes, digests, seen = [], [], {}
             for shingles in shingle_sets(texts, words):
                 digest = xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
@@ -179,13 +180,13 @@ def _set_mapper(words: int):
                     seen[digest] = shingles
             classes = [d and int.from_bytes(d[:8], "little", signed=True) for d in digests]
             none = pa.nulls(len(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(classes, pa.int64()), none, none], names=["id", "n", "digest", "cls", "shingle", "df"])
+            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(classes, pa.int64()), none, none], names=["id", "mark", "n", "digest", "cls", "shingle", "df"])
             if seen:
                 shingle, df = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 many = df >= max(4, len(seen) // 100)
                 m = int(many.sum())
                 none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(m, pa.binary()), none, pa.array(shingle[many].view(np.int64)), pa.array(df[many])], names=["id", "n", "digest", "cls", "shingle", "df"])
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(m, pa.binary()), none, pa.array(shingle[many].view(np.int64)), pa.array(df[many])], names=["id", "mark", "n", "digest", "cls", "shingle", "df"])
 
     return run
 
@@ -239,7 +240,7 @@ def _star_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidate_mapper(words: int):
-    """The sets of candidate texts, as sorted 64-bit hashes; rows of other texts under their identifiers go."""
+    """The sets of candidate texts, as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -368,20 +369,25 @@ def _blocked(candidates: DataFrame, percent: int, block_classes: int) -> DataFra
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_classes: int = BLOCK_CLASSES, group_classes: int = GROUP_CLASSES) -> DataFrame:
     """id, n_shingles and component_id of every row of docs."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = materialise(texts.mapInArrow(_set_mapper(words), "id long, n long, digest binary, cls long, shingle long, df long"), "jaccard-sets")
+    marked = texts.withColumn("mark", F.xxhash64("text"))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(N_RUNS)).cast("int")
+    sets = marked.select("id", "mark", "text").mapInArrow(_set_mapper(words), "id long, mark long, n long, digest binary, cls long, shingle long, df long")
+    seen = materialise(sets.withColumn("run", dealt), "jaccard-sets")
     often = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "shingle").limit(FREQUENT).select("shingle").toPandas()
     frequent = np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
-    rows = seen.filter("shingle is null").select("id", "n", "digest", "cls")
+    rows = seen.filter("shingle is null").select("id", "mark", "n", "digest", "cls", "run")
 
     pairs = texts.select("text").mapInArrow(_signature_mapper(words, percent, frequent), "sig long, cls long")
     stars = pairs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_star_mapper, "a long, b long")
     near = connected_components(stars).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
 
     members = materialise(group_rows(rows.filter("n > 0"), ["digest"], "min"), "jaccard-classes")
-    classes = members.filter(F.col("id").eqNullSafe(F.col("best"))).select("id", "n", "digest", "cls").distinct()
+    first = members.filter(F.col("id").eqNullSafe(F.col("best"))).groupBy("digest", "n", "cls").agg(F.min(F.struct("id", "mark")).alias("row"))
+    classes = first.select("row.id", "row.mark", "n", "digest", "cls")
     chosen = materialise(classes.join(near, "cls"), "jaccard-candidates")
-    wanted = small_side(chosen, 64)
-    found = texts.join(wanted, "id").select("text", "digest", "cls", "n", "comp").mapInArrow(_candidate_mapper(words), "cls long, n long, comp long, shingles binary")
+    wanted = small_side(chosen.withColumnsRenamed({"id": "first_id", "mark": "first_mark"}), 72)
+    held = marked.join(wanted, (marked["mark"] == wanted["first_mark"]) & marked["id"].eqNullSafe(wanted["first_id"]))
+    found = held.select("text", "digest", "cls", "n", "comp").mapInArrow(_candidate_mapper(words), "cls long, n long, comp long, shingles binary")
     met = _blocked(materialise(found.dropDuplicates(["cls"]), "jaccard-searched"), percent, block_classes)
     links = met.groupBy("comp", "one", "other").applyInPandas(_search(percent, group_classes), "a long, b long")
     linked = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))

@@ -17,7 +17,7 @@ def test_stages(spark):
         if name == "exact_dedup":
             assert exact_dedup.exact_groups(docs).filter("not kept").count() == 0
         if name == "near_dedup":
-            assert jaccard_join.jaccard_components(docs).filter("id <> component_id").count() == 0
+            assert jaccard_join.jaccard_components(docs).filter("not id <=> component_id").count() == 0
     assert kept[0] > kept[1] > kept[2] >= kept[3] == kept[4] > 0.8 * kept[0]
     assert repeats.remove_repeats(docs).agg({"n_removed": "sum"}).first()[0] < 0.02 * docs.selectExpr("sum(octet_length(text))").first()[0]
     assert docs.filter("n_chars <> length(text)").count() == 0
@@ -39,3 +39,14 @@ def test_odd_rows(spark, tmp_path):
         for _, stage in C.STAGES:
             docs = materialise(stage(spark, docs, str(tmp_path)), "odd")
         assert (docs.count() == 0) == empty
+
+
+def test_namesakes_stay(spark):
+    """Only the copy of a text goes, not another text under the same identifier."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a.upper()), (2, b), (3, b + " more"), (None, c), (4, c), (None, "alone")]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = materialise(C.drop_exact_copies(spark, df, ""), "t")
+    assert sorted((str(r.doc_id), r.text[:3]) for r in left.collect()) == [("2", "A0 "), ("2", "b0 "), ("3", "b0 "), ("4", "c0 "), ("None", "alo")]
+    left = C.drop_near_copies(spark, left, "")
+    assert sorted((str(r.doc_id), r.text[:3]) for r in left.collect()) == [("2", "A0 "), ("2", "b0 "), ("4", "c0 "), ("None", "alo")]

@@ -43,21 +43,22 @@ N_RUNS = 16
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         sha, mark, size = [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
+        for text in batch.column(2).cast(pa.binary()).to_pylist():
             text = (text or b"").lower()  # bytes.lower() changes A-Z alone
             sha.append(hashlib.sha256(text).digest())
             mark.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
             size.append(len(text))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sha, pa.binary()), pa.array(mark, pa.int64()), pa.array(size, pa.int64())],
-            names=["id", *KEY],
+            [batch.column(0), batch.column(1), pa.array(sha, pa.binary()), pa.array(mark, pa.int64()), pa.array(size, pa.int64())],
+            names=["id", "text_mark", *KEY],
         )
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, sha (binary SHA-256), mark (second digest) and n_bytes of every normalised text."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _digest, "id long, sha binary, mark long, n_bytes long"
+    """id, text_mark (hash of the text as it is), sha (binary SHA-256), mark (second digest) and n_bytes of every normalised text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_mark"), text.alias("text")).mapInArrow(
+        _digest, "id long, text_mark long, sha binary, mark long, n_bytes long"
     )
 
 
@@ -125,9 +126,10 @@ def group_rows(rows: DataFrame, key: list[str], keep: str = "min", n_runs: int =
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", n_runs: int = N_RUNS) -> DataFrame:
-    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256 (hex).
+    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256 (hex), text_mark.
 
-    keep names which identifier of a group stays, "min" or "max".
+    keep names which identifier of a group stays, "min" or "max". text_mark is
+    xxhash64 of the text as it is, and tells rows of one identifier apart.
     """
     dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_runs)).cast("int")
     rows = materialise(digest_rows(docs, id_col, text_col).withColumn("run", dealt), "exact-digests")
@@ -137,12 +139,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("size").alias("group_size"),
         F.col("id").eqNullSafe(F.col("best")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "text_mark",
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents; the largest doc_id of a group stays."""
-    return exact_groups(table(spark, sf_dir, "documents"), keep="max").withColumnRenamed("id", "doc_id")
+    return exact_groups(table(spark, sf_dir, "documents"), keep="max").drop("text_mark").withColumnRenamed("id", "doc_id")
 
 
 ORACLE_SQL = """

@@ -367,7 +367,7 @@ def _blocked(candidates: DataFrame, percent: int, block_classes: int) -> DataFra
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_classes: int = BLOCK_CLASSES, group_classes: int = GROUP_CLASSES) -> DataFrame:
-    """id, n_shingles and component_id of every row of docs."""
+    """id, n_shingles, component_id and text_mark (xxhash64 of the text) of every row of docs."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = texts.withColumn("mark", F.xxhash64("text"))
     dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(N_RUNS)).cast("int")
@@ -394,10 +394,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = chosen.join(linked, "cls").select("cls", "root", "id")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     known = materialise(named.select("cls", "root").join(least, "root").select("cls", "component_id").distinct(), "jaccard-components")
-    done = members.join(small_side(known, 16), "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "best").alias("component_id"))
-    return done.unionByName(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    done = members.join(small_side(known, 16), "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "best").alias("component_id"), F.col("mark").alias("text_mark"))
+    return done.unionByName(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("mark").alias("text_mark")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near duplicates among all documents."""
-    return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_mark").withColumnRenamed("id", "doc_id")

@@ -13,9 +13,10 @@ return the columns of documents.
    follows; a document that loses everything stays with an empty text.
 5. packing: sequences of at most 4096 tokens, one row a piece.
 
-doc_id names a document: rows that repeat one are kept, dropped and cut alike. Rows
-without doc_id are filtered by toxicity and else kept as they are. Null text counts as
-empty. Further columns are carried to stage 4.
+doc_id and text name a document: rows that repeat both are kept, dropped and cut alike,
+another text under the same doc_id is a document of its own. Rows without doc_id go as
+copies of rows with one; those that resemble each other alone stay, and are not cut.
+Null text counts as empty. Further columns are carried to stage 4.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewforge.llm import exact_dedup, jaccard_join, packing, repeats, toxicity
-from viewforge.plans.scratch import materialise, small_side
+from viewforge.plans.scratch import discard, materialise, passing, small_side
 from viewforge.sources.tables import table
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't among dropped (id)."""
-    gone = materialise(dropped.select(F.col("id").alias("__id")).distinct(), "pipeline-dropped")
-    return docs.join(small_side(gone, 8), docs["doc_id"].cast("long") == gone["__id"], "left_anti")
+    """docs but for the rows of dropped (id, text_mark)."""
+    gone = materialise(dropped.select(F.col("id").alias("__id"), F.col("text_mark").alias("__mark")).distinct(), "pipeline-dropped")
+    gone = small_side(gone, 16)
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__mark"]), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard_join.jaccard_components(docs).filter("id <> component_id"))
+    return _without(docs, jaccard_join.jaccard_components(docs).filter("not id <=> component_id"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +75,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with passing(spark) as keep:
+            docs = keep(materialise(stage(spark, before, sf_dir), f"pipeline-{name}"))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,10 @@ character classes, word and line shapes, repetition. Features cos(W x + b) with
 Gaussian W approximate a Gaussian kernel over the standardised vectors. Ridge scores
 come from the normal equations, which every partition sums on its own over its
 training rows; the sums are added in a tree and solved once. Isotonic regression of
-the training labels on the ridge scores, fitted by pooling neighbours over a fixed
-number of score bins, turns scores into probabilities.
+labels on the ridge scores, fitted by pooling neighbours over a fixed number of score
+bins, turns scores into probabilities. It is fitted on a fold of the training rows, one
+in FOLDS, that the ridge has not seen; where that fold or the rest is empty, both see
+all rows.
 
 All labelled training rows take part: what reaches the driver is one matrix of fixed
 size and one table of bins, at any size of the input.
@@ -35,6 +37,8 @@ from viewforge.sources.tables import table
 
 QUERY = "op8_quality"
 
+FOLDS = 5
+
 WIDTH = 192
 #: The kernel's length scale in standard deviations.
 SCALE = 3.0
@@ -156,8 +160,10 @@ def tree_sum(parts: DataFrame, size: int, fan_in: int = 16) -> np.ndarray:
 
 
 def fit(train: DataFrame, width: int = WIDTH, scale: float = SCALE, ridge: float = RIDGE, seed: int = SEED) -> FourierRidge:
-    """A model of y (0 or 1) on x from all rows of train."""
+    """A model of y (0 or 1) on x from all rows of train; those of fold 0 calibrate it."""
     d = len(STATISTICS)
+    folds = {bool(r.seen) for r in train.groupBy((F.col("fold") > 0).alias("seen")).count().collect()}
+    train, calibrating = (train.filter("fold > 0"), train.filter("fold = 0")) if len(folds) > 1 else (train, train)
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(2 * d + 1)
@@ -197,7 +203,7 @@ def fit(train: DataFrame, width: int = WIDTH, scale: float = SCALE, ridge: float
                 table_[1] += np.bincount(at, weights=pdf["y"].to_numpy(float), minlength=BINS)
         yield pd.DataFrame({"v": [table_.ravel()]})
 
-    counts, ones = tree_sum(train.mapInPandas(binned, "v array<double>"), 2 * BINS).reshape(2, BINS)
+    counts, ones = tree_sum(calibrating.mapInPandas(binned, "v array<double>"), 2 * BINS).reshape(2, BINS)
     full = counts > 0
     centres = (np.flatnonzero(full) + 0.5) / BINS * 2 - 0.5
     base = ones.sum() / counts.sum()
@@ -222,7 +228,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: object, id_col: st
     """
     rows = materialise(document_statistics(docs, id_col, text_col), "quality-statistics")
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("y"))
-    learnt = materialise(rows.filter(train).join(known.filter(train), "id").select("x", "y"), "quality-training")
+    learnt = materialise(rows.filter(train).join(known.filter(train), "id").select("x", "y", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).alias("fold")), "quality-training")
     model = fit(learnt)
     return rows.mapInPandas(_score_mapper(model), "id long, score double")
 

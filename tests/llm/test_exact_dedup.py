@@ -40,6 +40,16 @@ def test_runs_are_sorted_and_merged(spark, capsys):
     assert len(out) == 300 and sum(r["size"] for r in out) == 2000 and {r.best for r in out} == set(range(300))
 
 
+def test_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.range(5000).selectExpr("id AS doc_id", "concat('t', id % 1700) AS text").repartition(5)
+        out = E.exact_groups(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r.keep_id == r.id % 1700 and r.group_size == (3 if r.id % 1700 < 1600 else 2) for r in out) and len(out) == 5000
+
+
 def test_merger_joins_batches():
     import pyarrow as pa
 

@@ -65,6 +65,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _merger(key: list[str], keep: str):
     """Merges rows sorted by slot and key, the rows of a key going on as one with the better best and the sum of size."""
     pick, worst = (np.minimum, 2**63 - 1) if keep == "min" else (np.maximum, -(2**63))
+    names = ["slot", *key, "best", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -72,7 +73,7 @@ def _merger(key: list[str], keep: str):
             if not batch.num_rows:
                 continue
             if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                batch = pa.RecordBatch.from_arrays([pa.concat_arrays(both) for both in zip(held.columns, batch.columns, strict=True)], names=names)
             n = batch.num_rows
             new = np.ones(n, bool)
             new[1:] = False
@@ -84,7 +85,7 @@ def _merger(key: list[str], keep: str):
             named = np.logical_or.reduceat(best.is_valid().to_numpy(zero_copy_only=False), heads)
             best = pick.reduceat(best.fill_null(worst).to_numpy(), heads)
             columns = [batch.column(name).take(pa.array(heads)) for name in ("slot", *key)]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array(best, mask=~named), pa.array(np.add.reduceat(size, heads))], names=["slot", *key, "best", "size"])
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(best, mask=~named), pa.array(np.add.reduceat(size, heads))], names=names)
             yield out.slice(0, len(heads) - 1)
             held = out.slice(len(heads) - 1)
         if held is not None:

@@ -18,7 +18,7 @@ def python(code: str, name: str) -> str | None:
 PYTHON = [
     ("surface_normalize", "x  =  1 # c\n", "x = 1\n"),
     ("remove_comments_or_docstrings", 'def f():\n    """d"""\n', "def f():\n    pass\n"),
-    ("rename_locals", "def f(b, self):\n    a = b\n    return a\n", "def f(cjepa_1, self):\n    cjepa_0 = cjepa_1\n    return cjepa_0\n"),
+    ("rename_locals", "def f(b, self):\n    a = b\n    return a\n", "def f(renamed_1, self):\n    renamed_0 = renamed_1\n    return renamed_0\n"),
     ("flip_comparison", "a < b <= c\n", "a <= b <= c\n"),
     ("flip_boolop", "a and (b or c)\n", "a and (b and c)\n"),
     ("swap_call_args", "f(g(1, 2), 3)\n", "f(g(2, 1), 3)\n"),
@@ -62,7 +62,7 @@ def test_python_edit(name, code, want):
 TEXT = [
     ("java", "surface_normalize", "a;  \n\n\n\nb;\n", "a;\n\nb;\n"),
     ("java", "remove_comments_or_docstrings", "a; // x\n/* y\n */b;\n", "a; \n\nb;\n"),
-    ("java", "rename_locals", "foo(bar, bar);\n", "foo(cj_bar, cj_bar);\n"),
+    ("java", "rename_locals", "foo(bar, bar);\n", "foo(renamed_bar, renamed_bar);\n"),
     ("java", "flip_comparison", "a < b == c\n", "a < b != c\n"),
     ("java", "flip_boolop", "a && b\n", "a || b\n"),
     ("java", "swap_call_args", "f(a, b);\n", "f(b, a);\n"),

@@ -467,8 +467,8 @@ class _Scope(ast.NodeVisitor):
         super().generic_visit(node)
 
 
-#: How many locals get new names, and what these begin with.
-MOST_RENAMED, NEW_NAME = 8, "cjepa_"
+#: How many locals get new names (a fixed value), and what these begin with.
+MOST_RENAMED, NEW_NAME = 8, "renamed_"
 
 
 class _Renamed(ast.NodeTransformer):
@@ -487,13 +487,13 @@ class _Renamed(ast.NodeTransformer):
 
 
 def _renamed_locals(tree: ast.AST, code: str):
+    """The first locals by name, dunders aside, are numbered."""
     scope = _Scope(tree)
-    names = sorted(n for n in scope.bound - scope.declared if not (n.startswith("__") and n.endswith("__")))[:MOST_RENAMED]
-    if not names:
-        return None
-    mapping = {name: f"{NEW_NAME}{k}" for k, name in enumerate(names)}
-    _Renamed(mapping).visit(tree)
-    return tree, [], {"mapping": mapping, "positive_type": "local_rename"}
+    own = scope.bound.difference(scope.declared, {n for n in scope.bound if n[:2] == n[-2:] == "__"})
+    mapping = {name: f"{NEW_NAME}{k}" for k, name in zip(range(MOST_RENAMED), sorted(own), strict=False)}
+    if mapping:
+        _Renamed(mapping).visit(tree)
+    return (tree, [], {"mapping": mapping, "positive_type": "local_rename"}) if mapping else None
 
 
 def _loads_in_order(node: ast.AST) -> list[ast.Name]:

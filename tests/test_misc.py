@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from viewforge.functions import text as T
 from viewforge.functions import vectors as V
-from viewforge.operators import metrics, profile, ranking, sampling, tokens
+from viewforge.operators import files, metrics, profile, ranking, sampling, tokens
 from viewforge.sources import mixed
 from viewforge.streaming import run_log
 
@@ -113,3 +114,27 @@ def test_degenerate_metrics(spark):
     assert metrics.map_at_r(single).first().map_at_r == 0
     scores = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.1), (2, 1, 0.8), (2, 2, 0.7)], "query long, id long, score double")
     assert metrics.in_batch_accuracy(scores).first().accuracy == 0.5
+
+
+def test_retrieval_rows_need_enough(spark):
+    rows = spark.createDataFrame([(1, "one two three", "a b c d e f g h")], "k int, q string, c string")
+    assert files.retrieval_rows(rows, "q", "c", "k", 10).count() == 1
+    with pytest.raises(ValueError, match="fewer than 10"):
+        files.retrieval_rows(rows, "q", "c", "k", 10, least_rows=10)
+
+
+def test_json_values(spark):
+    given = ['{"a": 1, "solutions": [2], "b": {"c": 3}}', "[1]", "{", None, '{"a": "x"}', "7"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, j string")
+    out = {r.k: (r.s, r.p) for r in df.select("k", T.scrub_metadata(F.col("j")).alias("s"), T.parse_json_maybe(F.col("j")).alias("p")).collect()}
+    assert [out[k][0] for k in range(6)] == ['{"a":"1","b":"{\\"c\\":3}"}', "{}", "{}", "{}", '{"a":"x"}', "{}"]
+    assert [out[k][1] for k in range(6)] == ['{"a":1,"b":{"c":3},"solutions":[2]}', "[1]", None, None, '{"a":"x"}', "7"]
+
+
+def test_token_spans_positions():
+    from viewforge.code import languages as L
+
+    code = "é a\n\nbb(ü, cc)\n d"
+    spans = L.token_spans("u", code, 3)
+    assert [(s["start_line"], s["start_col"], s["end_line"], s["end_col"], s["start_byte"], s["end_byte"], s["source"]) for s in spans] == [(1, 2, 1, 3, 3, 4, "a"), (3, 0, 3, 2, 6, 8, "bb"), (3, 6, 3, 8, 13, 15, "cc")]
+    assert len(L.token_spans("u", "x " * 50_000, 10**6)) == 50_000

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from viewforge.code import pyast
 
@@ -107,18 +109,25 @@ def imports_context(code: str, language: Language) -> str:
     return "\n".join(found[: pyast.MOST_IMPORTS])
 
 
-def position(code: str, offset: int) -> tuple[int, int]:
-    """Line, from 1, and column of a character offset."""
-    return code.count("\n", 0, offset) + 1, offset - code.rfind("\n", 0, offset) - 1
+def positions(code: str, offsets: Iterable[int]) -> Iterator[tuple[int, int, int]]:
+    """Line, from 1, column and byte of ascending character offsets, in one pass over code."""
+    line, begin, at, size = 1, 0, 0, 0
+    for offset in offsets:
+        passed = code[at:offset]
+        size += len(passed.encode())
+        if feeds := passed.count("\n"):
+            line += feeds
+            begin = at + passed.rindex("\n") + 1
+        at = offset
+        yield line, offset - begin, size
 
 
 def token_spans(unit_id: str, code: str, most: int) -> list[dict]:
     """The first `most` names, keywords too."""
     out = []
-    for index, found in enumerate(NAME.finditer(code)):
-        if index == most:
-            break
-        (line, column), (end_line, end_column) = (position(code, k) for k in found.span())
+    names = list(islice(NAME.finditer(code), most))
+    places = positions(code, (k for found in names for k in found.span()))
+    for index, (found, (line, column, start), (end_line, end_column, stop)) in enumerate(zip(names, places, places, strict=True)):
         out.append(
             {
                 "node_type": "identifier",
@@ -126,8 +135,8 @@ def token_spans(unit_id: str, code: str, most: int) -> list[dict]:
                 "start_col": column,
                 "end_line": end_line,
                 "end_col": end_column,
-                "start_byte": len(code[: found.start()].encode()),
-                "end_byte": len(code[: found.end()].encode()),
+                "start_byte": start,
+                "end_byte": stop,
                 "source": found[0],
                 "span_id": f"{unit_id}:tok:{index}",
                 "unit_id": unit_id,

@@ -134,3 +134,18 @@ def byte_slice(text: Column, start: Column | int, stop: Column | int) -> Column:
     data = F.encode(text, "UTF-8")
     start, stop = (x if isinstance(x, Column) else F.lit(x) for x in (start, stop))
     return F.try_validate_utf8(F.substring(data, start + 1, stop - start).cast("string"))
+
+
+#: The keys that metadata is kept without.
+DROPPED_KEYS = ("solutions", "incorrect_solutions")
+
+
+def parse_json_maybe(text: Column) -> Column:
+    """A JSON text in its shortest form; null where it isn't one."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def scrub_metadata(text: Column) -> Column:
+    """A JSON object without DROPPED_KEYS, values that are no text as text; an empty object for anything else."""
+    entries = F.from_json(text, "map<string,string>")
+    return F.coalesce(F.to_json(F.map_filter(entries, lambda key, _: ~key.isin(*DROPPED_KEYS))), F.lit("{}"))

@@ -97,16 +97,24 @@ def capped(files: DataFrame, keys: list[str], cap: int, order: str = "source_row
 
 
 def token_budget(files: DataFrame, budget: int, order: str = "source_row_index") -> DataFrame:
-    """The leading rows until their tokens reach budget; the row that reaches it is the last."""
-    counted = running(files.withColumn("tokens", T.token_count(F.col("source")).cast("long")), [F.col(order)], {"__sum": F.col("tokens")})
-    return counted.withColumn("tokens_before", (F.col("__sum") - F.col("tokens")).cast("long")).filter(F.col("tokens_before") < budget).drop("__sum", "rn")
+    """The leading rows until their tokens reach budget; the row that reaches it is the last.
 
+    order names each row. Only it and the counts are written and ranged; the rows that
+    remain are joined back.
+    """
+    sizes = files.select(order, T.token_count(F.col("source")).cast("long").alias("tokens"))
+    counted = running(sizes, [F.col(order)], {"__sum": F.col("tokens")}).select(order, "tokens", (F.col("__sum") - F.col("tokens")).cast("long").alias("tokens_before"))
+    return files.join(counted.filter(F.col("tokens_before") < budget), order)
 
-def retrieval_rows(pairs: DataFrame, query: str, code: str, order: str, n: int, least_query: int = 3, least_code: int = 8) -> DataFrame:
-    """The first n rows with enough words in query and code, each code once."""
+
+def retrieval_rows(pairs: DataFrame, query: str, code: str, order: str, n: int, least_query: int = 3, least_code: int = 8, least_rows: int = 0) -> DataFrame:
+    """The first n rows with enough words in query and code, each code once; an error if there are fewer than least_rows."""
     rows = pairs.withColumns({"query": T.strip(F.coalesce(F.col(query), F.lit(""))), "code": T.strip(F.coalesce(F.col(code), F.lit("")))})
     rows = rows.filter((T.token_count(F.col("query")) >= least_query) & (T.token_count(F.col("code")) >= least_code))
-    return first_per_key(rows.select(order, "query", "code"), ["code"], [order]).orderBy(order).limit(n)
+    found = first_per_key(rows.select(order, "query", "code"), ["code"], [order]).orderBy(order).limit(n)
+    if least_rows and len(found.select(order).head(least_rows)) < least_rows:
+        raise ValueError(f"fewer than {least_rows} usable rows")
+    return found
 
 
 def intern_texts(rows: DataFrame, text: str, order: str) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,9 @@
 """Source files to the seven tables of a segment.
 
 One Arrow-backed pass parses each file once and emits its rows, tagged by table and
-packed as JSON. That table is written; the seven tables are projections of it, so the
-edits run once whatever is read afterwards.
+packed as JSON. That table is written with a folder for each of the seven, which are
+projections of their own folder's rows, so the edits run once whatever is read
+afterwards, and a reader of one table scans that one alone.
 """
 
 from __future__ import annotations
@@ -303,7 +304,7 @@ def prepare(files: DataFrame, stage: str, options: Options | None = None) -> dic
     too deep to be read.
     """
     stage_chain(stage)
-    packed = materialise(files.mapInPandas(_mapper(stage, options or Options()), "table string, row string"), f"prepare-{stage}")
+    packed = materialise(files.mapInPandas(_mapper(stage, options or Options()), "table string, row string"), f"prepare-{stage}", "table")
     return {name: packed.filter(F.col("table") == name).select(F.from_json("row", schema).alias("r")).select("r.*") for name, schema in TABLES.items()}
 
 

@@ -108,3 +108,17 @@ def mask_tokens(tokens: Column, key: Column, vocabulary: int, mask_id: int, shar
         return F.when(F.size(t) > 0, each)
 
     return once(tokens, mask)
+
+
+def chunks(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """rows with chunk and position, n rows a chunk in the order; a short last chunk stays."""
+    at = F.col("rn") - 1
+    return running(rows, order).withColumns({"chunk": F.floor(at / n).cast("long"), "position": (at % n).cast("long")}).drop("rn")
+
+
+def draws(rows: DataFrame, order: list[Column], n: int, seed: int) -> DataFrame:
+    """n rows drawn one by one from all, with replacement: draw, its number, and the row."""
+    placed = running(rows, order)
+    wanted = rows.sparkSession.range(n).select(F.col("id").alias("draw"))
+    wanted = wanted.withColumn("rn", F.floor(uniform(seed, F.col("draw")) * rows.count()).cast("long") + 1)
+    return placed.join(wanted, "rn").select("draw", *rows.columns)

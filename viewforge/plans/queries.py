@@ -534,3 +534,89 @@ def masked_byte_tokens(spark, sf_dir):
     rows = _files(spark, sf_dir).select("source_row_index", tokens.byte_ids(F.encode("source", "UTF-8")).alias("t"))
     masked = sampling.mask_tokens(F.col("t"), F.col("source_row_index"), 257, 257)
     return rows.select("source_row_index", F.size(F.filter(masked, lambda m: m["target"] >= 0)).alias("masked"))
+
+
+#: Lines of program text, one for each site that the text-level edits look for.
+SNIPPETS = [
+    "if (a instanceof B) { f(); }", "x = await load(q);", "ys = xs.clone();", "ys = new ArrayList<>(xs);", "try { f(); } catch (IOException e) { g(); }",
+    "call(a, limit: 5);", "call(a, limit = 5);", "defer f.close();", "in.close();", "return total;",
+    "if (ready) { return true; } else { return false; }", "if (ready) { return false; } else { return true; }", "if (a) { return b; } else { return c; }",
+    "if (!(a && b)) { f(); }", "if (!(a || b)) { f(); }", "while (i < n) { f(); }", "while (i >= 10) { f(); }", "v = xs[0];", "v = xs[3];", "v = xs[k];",
+    "xs.sort();", "rsort(xs);", "sort_by(xs);", "if (x == null) { throw e; }", "if (a) { return b; } else { c(); }", "plain(words);",
+]
+
+#: Edits as SQL has them: patterns in order and what their first occurrence becomes.
+EDIT_RULES: dict[str, list[tuple[str, str]]] = {
+    "flip_membership_or_identity": [(r"\s+instanceof\s+", " !instanceof "), ("===", "!=="), ("!==", "==="), (r"\bis\s+not\b", " is "), (r"\bis\b", " is not "), (r"\bin\b", " not in "), (r"\bnot\s+in\b", " in "), (r"==\s*nil\b", "!= nil"), (r"!=\s*nil\b", "== nil"), (r"==\s*null\b", "!= null"), (r"!=\s*null\b", "== null")],
+    "remove_async_or_concurrency_wait": [(p, "") for p in (r"\bawait\s+", r"\bgo\s+", r"<-\s*", r"\.join\(\)", r"\.get\(\)", r"\.wait\(\)", r"\.value\b")],
+    "copy_to_alias_mutation": [(r"\.copy\(\)", ""), (r"\.clone\(\)", ""), (r"\.dup\b", ""), (r"clone\s+", ""), (r"\[\.\.\.([^\]]+)\]", r"\1"), (r"new\s+ArrayList<>\(([^)]+)\)", r"\1")],
+    "flip_exception_type": [(r"catch\s*\(\s*([A-Za-z_$][\w$.]*)", "catch (Exception"), (r"except\s+([A-Za-z_$][\w$.]*)", "except Exception"), (r"rescue\s+([A-Za-z_:][\w:]*)", "rescue StandardError")],
+    "drop_keyword_argument": [(r",\s*[A-Za-z_$][\w$]*\s*:\s*[^,)}\n]+", ""), (r"\{\s*[A-Za-z_$][\w$]*\s*:\s*[^,}\n]+,\s*", ""), (r",\s*[A-Za-z_$][\w$]*\s*=\s*[^,)}\n]+", "")],
+    "drop_resource_context": [(r"defer\s+[^\n;]+(?:\n|;)", ""), (r"using\s+[^\n;]+(?:\n|;)", ""), (r"finally\s*\{[^{}]*(?:close|fclose|dispose)[^{}]*\}", ""), (r"\.close\(\);?", ""), (r"fclose\([^)]+\);?", ""), (r"try\s*\([^)]*\)\s*\{", "try {")],
+    "remove_return_value": [(r"\breturn\s+([^;\n]+);", "return;"), (r"\breturn\s+([^\n]+)", "return;")],
+    "negate_condition": [(r"\b(if|while)\s*\(([^(){};\n]+)\)", r"\1 (!(\2))")],
+    "bool_return_simplify": [(r"if\s*\(([^(){};\n]+)\)\s*\{\s*return\s+true\s*;?\s*\}\s*else\s*\{\s*return\s+false\s*;?\s*\}", r"return \1;"), (r"if\s*\(([^(){};\n]+)\)\s*\{\s*return\s+false\s*;?\s*\}\s*else\s*\{\s*return\s+true\s*;?\s*\}", r"return !(\1);")],
+    "if_return_merge": [(r"if\s*\(([^(){};\n]+)\)\s*\{\s*return\s+([^;{}\n]+);?\s*\}\s*else\s*\{\s*return\s+([^;{}\n]+);?\s*\}", r"return \1 ? \2 : \3;")],
+    "remove_unreachable_else": [(r"if\s*\(([^(){};\n]+)\)\s*\{([^{}]*?return[^{}]*?;?)\s*\}\s*else\s*\{\s*([^{}]*[^{}\s])\s*\}", "if (\\1) {\\2}\n\\3")],
+    "demorgan_rewrite": [(r"!\s*\(\s*([^()&|]+?)\s*&&\s*([^()&|]+?)\s*\)", r"!(\1) || !(\2)"), (r"!\s*\(\s*([^()&|]+?)\s*\|\|\s*([^()&|]+?)\s*\)", r"!(\1) && !(\2)")],
+    "shift_loop_bound": [(r"([A-Za-z_$][\w$]*)(\s*)<(\s*)([A-Za-z_$][\w$]*|\d+)", r"\1\2<=\3\4"), (r"([A-Za-z_$][\w$]*)(\s*)>=(\s*)([A-Za-z_$][\w$]*|\d+)", r"\1\2>\3\4")],
+    "remove_guard_branch": [(r"\bif\s*\([^)]*\)\s*\{\s*(?:return|throw|raise)[^{};\n]*(?:;)?\s*\}\s*", "")],
+    "flip_subscript_index": [(r"\[\s*0\s*\]", "[1]"), (r"\[\s*\d+\s*\]", "[0]"), (r"\[\s*([A-Za-z_$][\w$]*)\s*\]", r"[\1 + 1]")],
+    "flip_sort_reverse": [(r"\.sort\(\)", ".sort().reverse()"), (r"sort\.Strings\(", "sort.Sort(sort.Reverse(sort.StringSlice("), ("sort_by", "sort_by.reverse"), (r"rsort\(", "sort("), (r"sort\(", "rsort(")],
+}
+
+
+def _sql_edit(rules: list[tuple[str, str]]) -> str:
+    quoted = [(p.replace("'", "''"), r.replace("'", "''")) for p, r in rules]
+    cases = " ".join(f"WHEN regexp_matches(code, '{p}') THEN regexp_replace(code, '{p}', '{r}')" for p, r in quoted)
+    snippets = ", ".join("'" + x + "'" for x in SNIPPETS)
+    return (
+        f"WITH c AS (SELECT doc_id AS source_row_index, 'int v' || doc_id || ' = 1;' || chr(10) || list_extract([{snippets}], (doc_id % {len(SNIPPETS)} + 1)::INT) || chr(10) || 'last();' AS code FROM documents), "
+        f"e AS (SELECT source_row_index, CASE {cases} END AS new FROM c) SELECT source_row_index, {_sql_rstrip('new')} || chr(10) AS code FROM e WHERE new IS NOT NULL"
+    )
+
+
+def _edit_query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from viewforge.operators.edits import text_edit
+
+        line = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
+        code = F.concat(F.lit("int v"), F.col("doc_id").cast("string"), F.lit(" = 1;\n"), line, F.lit("\nlast();"))
+        rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_row_index"), code.alias("source"), F.lit("java").alias("language"))
+        return text_edit(rows, name)
+
+    return run
+
+
+for _name, _rules in EDIT_RULES.items():
+    QUERIES[f"edit_{_name}"], ORACLES[f"edit_{_name}"] = _edit_query(_name), _sql_edit(_rules)
+
+
+@query("SELECT doc_id, k // 100 AS chunk, k % 100 AS position FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents)")
+def chunked_rows(spark, sf_dir):
+    return sampling.chunks(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], 100)
+
+
+@query("""WITH c AS (SELECT n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS chunk FROM documents)
+SELECT round(avg(m), 6) AS mean_of_means, count(*) AS batches FROM (SELECT chunk, avg(n_chars::DOUBLE) AS m FROM c GROUP BY chunk)""")
+def mean_of_batch_means(spark, sf_dir):
+    rows = sampling.chunks(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.col("doc_id")], 64)
+    return metrics.batch_means(rows, "chunk", "n_chars").select(F.round("mean", 6).alias("mean_of_means"), "batches")
+
+
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents),
+d AS (SELECT i AS draw, floor(('0x' || substr(sha256('5:' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 * (SELECT max(n) FROM o))::BIGINT AS k FROM range(500) t(i)) SELECT draw, doc_id FROM d JOIN o USING (k)""")
+def draws_with_replacement(spark, sf_dir):
+    return sampling.draws(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], 500, 5)
+
+
+@query("""SELECT doc_id, '{"lang":"' || coalesce(lang, '') || '","source":"' || coalesce(source, '') || '"}' AS metadata FROM documents""")
+def scrubbed_metadata(spark, sf_dir):
+    given = F.to_json(F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.array(F.lit("x = 1")).alias("solutions"), F.coalesce("source", F.lit("")).alias("source"), F.array(F.lit("y")).alias("incorrect_solutions")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.scrub_metadata(given).alias("metadata"))
+
+
+@query("""SELECT event_id, CASE WHEN json_valid(j) THEN j END AS parsed FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"a":' || event_id || '}' WHEN event_id % 3 = 1 THEN '{"a":' ELSE '7' END AS j FROM events)""")
+def parsed_json(spark, sf_dir):
+    given = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a":'), F.col("event_id").cast("string"), F.lit("}"))).when(F.col("event_id") % 3 == 1, F.lit('{"a":')).otherwise(F.lit("7"))
+    return table(spark, sf_dir, "events").select("event_id", T.parse_json_maybe(given).alias("parsed"))

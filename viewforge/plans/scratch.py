@@ -24,8 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to a Parquet table in the shared folder and returns a scan of it.
+def materialise(df: DataFrame, tag: str, *folders: str) -> DataFrame:
+    """Writes df to a Parquet table in the shared folder, with folders for these columns' values, and returns a scan of it.
 
     The table survives the loss of any executor. It stays until discard() or the end of
     a passing() block removes it, or the checkpoint folder is emptied, because a lazy
@@ -33,7 +33,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/viewforge/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     for scope in _SCOPES:
         scope.append(path)
     back = spark.read.schema(df.schema).parquet(path)

@@ -27,14 +27,17 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value: object) -> None:
-    """Writes a file beside its place and moves it there."""
+    """Writes a file beside its place and moves it there, over what is there, in one step."""
     system, at = _file_system(spark, path)
     _, part = _file_system(spark, f"{path}.part")
     out = system.create(part, True)
     out.write(bytearray(json.dumps(value, indent=1, sort_keys=True).encode()))
     out.close()
-    system.delete(at, False)
-    system.rename(part, at)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    mode = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = context._gateway.new_array(mode, 1)
+    over[0] = mode.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), context._jsc.hadoopConfiguration()).rename(part, at, over)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:

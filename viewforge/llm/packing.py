@@ -47,7 +47,7 @@ QUERY = "op1_best_fit_packing"
 CAPACITY = 4096
 #: Items that one task packs at most.
 GROUP_ITEMS = 50_000
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 LEVEL_BITS, GROUP_BITS = 56, 28
 
 

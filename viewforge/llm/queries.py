@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
+from viewforge.llm.batches import bounded
+
 MODULES = (
     "packing",
     "exact_dedup",
@@ -25,7 +27,7 @@ def _loaded() -> list:
 
 def queries() -> dict[str, Callable]:
     """Query name to (spark, sf_dir) -> DataFrame."""
-    return {module.QUERY: module.query for module in _loaded()}
+    return {module.QUERY: bounded(module.query) for module in _loaded()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewforge.llm.batches import small
+from viewforge.llm.batches import give_back, small
 from viewforge.plans.scratch import materialise
 from viewforge.sources.tables import table
 
@@ -162,6 +162,7 @@ def _count_mapper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield flush()
     if toxic or clean:
         yield flush()
+    give_back()
 
 
 class Scorer:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewforge.llm import exact_dedup, jaccard_join, packing, repeats, toxicity
-from viewforge.llm.batches import bounded
+from viewforge.llm.batches import lean
 from viewforge.plans.scratch import discard, materialise, passing, small_side
 from viewforge.sources.tables import table
 
@@ -38,29 +38,29 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__mark"]), "left_anti")
 
 
-@bounded
+@lean
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     scorer = toxicity.fit(docs, labels, ~toxicity.held_out() & F.col("doc_id").isNotNull())
     return toxicity.clean_rows(docs, scorer)
 
 
-@bounded
+@lean
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, exact_dedup.exact_groups(docs, keep="max").filter("not kept"))
 
 
-@bounded
+@lean
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, jaccard_join.jaccard_components(docs).filter("not id <=> component_id"))
 
 
-@bounded
+@lean
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(docs)
 
 
-@bounded
+@lean
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed = packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -50,3 +50,21 @@ def test_namesakes_stay(spark):
     assert sorted((str(r.doc_id), r.text[:3]) for r in left.collect()) == [("2", "A0 "), ("2", "b0 "), ("3", "b0 "), ("4", "c0 "), ("None", "alo")]
     left = C.drop_near_copies(spark, left, "")
     assert sorted((str(r.doc_id), r.text[:3]) for r in left.collect()) == [("2", "A0 "), ("2", "b0 "), ("4", "c0 "), ("None", "alo")]
+
+
+def test_stages_read_in_small_parts(spark):
+    """Scans of a stage hold few rows at a time and no direct buffers; a size that somebody set stays."""
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    rows, vectored = "spark.sql.parquet.columnarReaderBatchSize", "parquet.hadoop.vectored.io.enabled"
+    try:
+        for name in (rows, vectored):
+            spark.conf.unset(name)
+        C.drop_exact_copies(spark, docs, TABLES)
+        hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+        assert hadoop.get(vectored) == "false" and int(hadoop.get(rows)) <= 1024
+        spark.conf.set(rows, "77")
+        C.drop_exact_copies(spark, docs, TABLES)
+        assert spark.conf.get(rows) == "77"
+    finally:
+        for name in (rows, vectored):
+            spark.conf.unset(name)
